@@ -13,7 +13,7 @@ OPERATORS = (
     # ("toxicity", "op5_toxicity"),
     # ("substring_dedup", "op6_substring_dedup"),
     # ("jaccard_join", "op7_ngram_jaccard_join"),
-    # ("byte_bpe", "op8_byte_bpe"),
+    ("byte_bpe", "op8_byte_bpe"),
     # ("quality_classifier", "op9_quality_classifier"),
     # ("nearest", "op10_nearest_neighbours"),
 )
