@@ -7,9 +7,9 @@ from importlib import import_module
 #: module, query
 OPERATORS = (
     ("quality_rules", "op1_quality_rules"),
-    # ("license_scan", "op2_license_scan"),
-    # ("bin_packing", "op3_best_fit_packing"),
-    # ("chat_format", "op4_chat_formatting"),
+    ("license_scan", "op2_license_scan"),
+    ("bin_packing", "op3_best_fit_packing"),
+    ("chat_format", "op4_chat_formatting"),
     # ("toxicity", "op5_toxicity"),
     # ("substring_dedup", "op6_substring_dedup"),
     # ("jaccard_join", "op7_ngram_jaccard_join"),
