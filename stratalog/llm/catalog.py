@@ -10,7 +10,7 @@ OPERATORS = (
     ("license_scan", "op2_license_scan"),
     ("bin_packing", "op3_best_fit_packing"),
     ("chat_format", "op4_chat_formatting"),
-    # ("toxicity", "op5_toxicity"),
+    ("toxicity", "op5_toxicity"),
     # ("substring_dedup", "op6_substring_dedup"),
     # ("jaccard_join", "op7_ngram_jaccard_join"),
     ("byte_bpe", "op8_byte_bpe"),
