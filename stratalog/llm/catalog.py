@@ -12,7 +12,7 @@ OPERATORS = (
     ("chat_format", "op4_chat_formatting"),
     ("toxicity", "op5_toxicity"),
     # ("substring_dedup", "op6_substring_dedup"),
-    # ("jaccard_join", "op7_ngram_jaccard_join"),
+    ("jaccard_join", "op7_ngram_jaccard_join"),
     ("byte_bpe", "op8_byte_bpe"),
     ("quality_classifier", "op9_quality_classifier"),
     # ("nearest", "op10_nearest_neighbours"),
