@@ -11,7 +11,7 @@ OPERATORS = (
     ("bin_packing", "op3_best_fit_packing"),
     ("chat_format", "op4_chat_formatting"),
     ("toxicity", "op5_toxicity"),
-    # ("substring_dedup", "op6_substring_dedup"),
+    ("substring_dedup", "op6_substring_dedup"),
     ("jaccard_join", "op7_ngram_jaccard_join"),
     ("byte_bpe", "op8_byte_bpe"),
     ("quality_classifier", "op9_quality_classifier"),
