@@ -15,7 +15,7 @@ OPERATORS = (
     ("jaccard_join", "op7_ngram_jaccard_join"),
     ("byte_bpe", "op8_byte_bpe"),
     ("quality_classifier", "op9_quality_classifier"),
-    # ("nearest", "op10_nearest_neighbours"),
+    ("nearest", "op10_nearest_neighbours"),
 )
 
 
