@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .graph import components
 from .hashing import chunks, distinct, mix, shingles
-from .shared import saved, table
+from .shared import narrowed, saved, table
 
 #: Two sets are similar when 100 * overlap >= PERCENT * union.
 PERCENT = 80
@@ -300,15 +300,21 @@ def _links(batches):
 def jaccard_join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs``; doc_id is a whole number."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    shape = saved(shapes(docs, frequent_shingles(docs)))
+    full = shapes(docs, frequent_shingles(docs))
+    shape = saved(full.drop("index"))
     filled = shape.filter("n > 0 and doc_id is not null")
     copies = filled.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"))
     rep_of = saved(shape.select("doc_id", "n", "k1", "k2").join(copies, ["k1", "k2", "n"], "left").select("doc_id", "n", "rep"))
 
-    # indexed shingles that two texts hold, and which sets hold them
-    index = filled.select("doc_id", F.explode("index").alias("shingle"))
-    common = index.groupBy("shingle").agg(F.count("*").alias("members")).filter("members > 1")
-    member = (index.join(common, "shingle").join(rep_of.filter("rep is not null").distinct(), "doc_id")
+    # indexed shingles that two texts hold, and which; computed twice rather than kept
+    index = full.filter("doc_id is not null").select("doc_id", F.explode("index").alias("shingle"))
+    common = index.groupBy("shingle").agg(F.count("*").alias("members")).filter("members > 1").select("shingle")
+    held = saved(index.join(common, "shingle"))
+    # of shingles that the same texts hold, one is enough
+    name = [F.sum(F.xxhash64("doc_id").cast("decimal(20,0)")).alias("x"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("y")]
+    one = (held.groupBy("shingle").agg(F.count("*").alias("members"), *name)
+           .groupBy("x", "y", "members").agg(F.min("shingle").alias("shingle")).select("shingle", "members"))
+    member = (held.join(one, "shingle").join(rep_of.filter("rep is not null").distinct(), "doc_id")
               .groupBy("shingle", "rep", "n").agg(F.max("members").alias("members")))
     points = filled.select("doc_id", "point").join(copies.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     rows = member.join(points.withColumnRenamed("doc_id", "rep"), "rep")
@@ -318,7 +324,8 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
 
     family = components(bound).select(F.col("id").alias("rep"), F.col("component").alias("family"))
     family = saved(family.join(family.groupBy("family").agg(F.count("*").alias("members")), "family"))
-    texts = docs.join(family, docs["doc_id"] == family["rep"]).dropDuplicates(["rep"])
+    near = narrowed(docs, family.select(F.col("rep").alias("doc_id")))
+    texts = near.join(family, near["doc_id"] == family["rep"]).dropDuplicates(["rep"])
     dealt = _blocks(texts.select("family", "members", "rep", F.col("text").cast("string").alias("text")), "family", "members", FAMILY)
     ordered = dealt.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "rep")
     links = ordered.select("family", "i", "j", "block", "rep", "text").mapInArrow(_links, "a long, b long").distinct()

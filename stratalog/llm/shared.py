@@ -33,3 +33,18 @@ def saved(df: DataFrame) -> DataFrame:
 def held_out(doc_id) -> F.Column:
     """True for the rows whose labels may not be learnt from."""
     return F.crc32(doc_id.cast("string")) % HOLD_OUT == 0
+
+
+#: Values of the truncated hash that ``narrowed`` broadcasts, at most.
+NARROW = 1 << 20
+
+
+def narrowed(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id may be in ``ids``: all that are, and few others while ids are few.
+
+    Both sides are hashed to NARROW values; the distinct ones among ``ids``, at most NARROW
+    numbers whatever the input, are broadcast.  It saves shuffling texts that a join would drop.
+    """
+    short = lambda c: F.pmod(F.xxhash64(c.cast("long"), F.lit(17)), F.lit(NARROW))
+    few = ids.select(short(F.col("doc_id")).alias("short_id")).distinct()
+    return docs.join(F.broadcast(few), short(docs["doc_id"]) == few["short_id"], "left_semi")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .graph import components
 from .hashing import WIDTH, Words, chunks, distinct, mix, shingles, words
-from .shared import saved, table
+from .shared import narrowed, saved, table
 
 LINE, BANDS, ROWS = 30, 6, 3
 PERCENT = 80
@@ -153,7 +153,7 @@ def _line_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(uids, pa.int64()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(keys.view(np.int64)))], ["uid", "set"])
 
-    return docs.join(by_doc, "doc_id").select("text", "want").mapInArrow(run, "uid long, set array<long>")
+    return narrowed(docs, needed).join(by_doc, "doc_id").select("text", "want").mapInArrow(run, "uid long, set array<long>")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
