@@ -32,11 +32,11 @@ from .graph import components
 from .hashing import WIDTH, Words, chunks, distinct, mix, shingles, words
 from .shared import narrowed, saved, table
 
-LINE, BANDS, ROWS = 30, 6, 3
+LINE, BANDS, ROWS = 40, 6, 3
 PERCENT = 80
-WINDOW, REACH = 16, 12
+WINDOW, REACH = 16, 16
 #: Words of the shortest span that is removed.
-LEAST = 24
+LEAST = 20
 
 
 def _within(w: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -103,9 +103,9 @@ def bands(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """key, uid, doc_id, first, last, line: each collision key of each paragraph.
+    """key, doc_id, place: each collision key of each paragraph.
 
-    ``uid`` names the document for a window, and the paragraph for a line.
+    ``place`` holds the first and the end word and, in its last bit, whether it is a line.
     """
     def run(batches):
         for batch in batches:
@@ -113,24 +113,29 @@ def paragraphs(docs: DataFrame) -> DataFrame:
                 ids = batch.column(0).slice(i, j - i).to_numpy()
                 t, key, a, b = windows(w)
                 t2, keys, a2, b2 = bands(w)
-                name = mix(ids[t2].view(np.uint64) ^ mix(a2.astype(np.uint64), 5), 6)
+                own = np.repeat(_place(a2, b2, 1), BANDS)
                 cols = [
                     np.concatenate([key, keys.ravel()]).view(np.int64),
-                    np.concatenate([ids[t], np.repeat(name, BANDS).view(np.int64)]),
                     np.concatenate([ids[t], np.repeat(ids[t2], BANDS)]),
-                    np.concatenate([a, np.repeat(a2, BANDS)]).astype(np.int32),
-                    np.concatenate([b, np.repeat(b2, BANDS)]).astype(np.int32),
-                    np.concatenate([np.zeros(len(t), bool), np.ones(len(t2) * BANDS, bool)]),
+                    np.concatenate([_place(a, b, 0), own]),
                 ]
                 for k in range(0, len(cols[0]), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 100_000]) for c in cols], ["key", "uid", "doc_id", "first", "last", "line"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 100_000]) for c in cols], ["key", "doc_id", "place"])
 
-    return docs.mapInArrow(run, "key long, uid long, doc_id long, first int, last int, line boolean")
+    return docs.mapInArrow(run, "key long, doc_id long, place long")
+
+
+def _place(first: np.ndarray, last: np.ndarray, line: int) -> np.ndarray:
+    return (first.astype(np.int64) << 32) | (last.astype(np.int64) << 1) | line
+
+
+#: The parts of a place, as SQL.
+FIRST, LAST = "shiftright(place, 32)", "shiftright(place, 1) & 2147483647"
 
 
 def _line_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """uid and the set of shingles of each needed line (uid, doc_id, first, last)."""
-    by_doc = needed.groupBy("doc_id").agg(F.collect_list(F.struct("uid", "first", "last")).alias("want"))
+    """uid and the set of shingles of each needed line (uid, doc_id, place)."""
+    by_doc = needed.groupBy("doc_id").agg(F.collect_list(F.struct("uid", F.expr(FIRST).alias("first"), F.expr(LAST).alias("last"))).alias("want"))
 
     def run(batches):
         for batch in batches:
@@ -164,25 +169,27 @@ def repeats(docs: DataFrame) -> DataFrame:
     docs = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
             .filter("doc_id is not null and text is not null"))
     units = paragraphs(docs)
-    heads = units.groupBy("key").agg(F.min("uid").alias("head"), F.max("uid").alias("other")).filter("head <> other").select("key", "head")
-    hits = saved(units.join(heads, "key").select("uid", "head", "doc_id", "first", "last", "line"))
+    heads = units.groupBy("key").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("other")).filter("head <> other").select("key", "head")
+    hits = saved(units.join(heads, "key"))
 
     # windows: equal words, so a collision is a component and its least document keeps the passage
-    gone = hits.filter("not line and uid <> head").select("doc_id", "first", "last", F.col("head").alias("kept_doc"))
-
-    # lines: verify, then components
-    near = hits.filter("line")
-    known = saved(near.groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.first("first").alias("first"), F.first("last").alias("last")))
-    pairs = near.filter("uid <> head").select("uid", "head").distinct()
+    gone = hits.filter("place % 2 = 0 and doc_id <> head").select("doc_id", "place", F.col("head").alias("kept_doc"))
+
+    # lines: verify against the line of the least document, then components
+    uid = F.xxhash64("doc_id", "place").alias("uid")
+    near = hits.filter("place % 2 = 1").select("key", "doc_id", "place", "head", uid)
+    known = saved(near.select("uid", "doc_id", "place").distinct())
+    least = near.filter("doc_id = head").groupBy("key").agg(F.min("uid").alias("other"))
+    pairs = near.join(least, "key").filter("uid <> other").select("uid", "other").distinct()
     sets = saved(_line_sets(docs, known).dropDuplicates(["uid"]))
-    both = (pairs.join(sets, "uid").join(sets.select(F.col("uid").alias("head"), F.col("set").alias("other")), "head")
-            .withColumn("n", F.size(F.array_intersect("set", "other"))))
-    edges = both.filter(F.lit(100) * F.col("n") >= F.lit(PERCENT) * (F.size("set") + F.size("other") - F.col("n"))).select(
-        F.col("uid").alias("a"), F.col("head").alias("b"))
-    member = components(edges).join(known, F.col("id") == F.col("uid")).select("component", "doc_id", "first", "last")
-    # the least place of a component, pre-aggregated
+    both = (pairs.join(sets, "uid").join(sets.select(F.col("uid").alias("other"), F.col("set").alias("other_set")), "other")
+            .withColumn("n", F.size(F.array_intersect("set", "other_set"))))
+    edges = both.filter(F.lit(100) * F.col("n") >= F.lit(PERCENT) * (F.size("set") + F.size("other_set") - F.col("n"))).select(
+        F.col("uid").alias("a"), F.col("other").alias("b"))
+    member = components(edges).join(known, F.col("id") == F.col("uid")).select("component", "doc_id", "place")
     keeper = member.groupBy("component").agg(F.min("doc_id").alias("kept_doc"))
-    gone = gone.unionByName(member.join(keeper, "component").filter("doc_id <> kept_doc").select("doc_id", "first", "last", "kept_doc"))
+    gone = gone.unionByName(member.join(keeper, "component").filter("doc_id <> kept_doc").select("doc_id", "place", "kept_doc"))
+    gone = gone.select("doc_id", F.expr(FIRST).alias("first"), F.expr(LAST).alias("last"), "kept_doc")
 
     order = Window.partitionBy("doc_id").orderBy("first", "last")
     reach = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
