@@ -181,7 +181,7 @@ def trace_origin(versions: DataFrame, needle: str) -> DataFrame:
     """Commits that change how often ``needle`` stands in a path; versions: repo, path, seq, sha, content."""
     n = F.size(F.split("content", r"\Q" + needle.replace(r"\E", "") + r"\E")) - 1
     w = Window.partitionBy("repo", "path").orderBy(F.desc("seq"))
-    v = versions.select("repo", "path", "seq", "sha", F.coalesce(n, F.lit(0)).alias("n"))
-    v = v.withColumn("was", F.coalesce(F.lag("n").over(w), F.lit(0))).filter("n <> was")
+    v = versions.select("repo", "path", "seq", "sha", F.coalesce(n, F.lit(0)).cast("long").alias("n"))
+    v = v.withColumn("was", F.coalesce(F.lag("n").over(w), F.lit(0)).cast("long")).filter("n <> was")
     first = Window.partitionBy("repo").orderBy(F.desc("seq"), "path")
     return v.select("repo", "path", "seq", "sha", "n", "was", (F.row_number().over(first) == 1).alias("origin"))

@@ -17,14 +17,14 @@ _COMMITS = """
 select concat('repo', cast(o_custkey % 3 as string)) as repo, cast(o_orderkey as string) as sha,
        concat('Name', cast(o_custkey % 50 as string)) as author_name,
        case when o_custkey % 11 = 0 then '' else concat('e', cast(o_custkey % 80 as string), '@x.org') end as author_email,
-       {day} * 86400 + o_orderkey % 86400 as author_time,
+       cast({day} as bigint) * 86400 + o_orderkey % 86400 as author_time,
        case o_orderkey % 8 when 0 then 'feat: add part' when 1 then 'fix(core): repair flow' when 2 then 'docs: note'
             when 3 then 'feat!: new api' when 4 then 'Bug in parser' when 5 then 'remove: old' when 6 then 'BREAKING change'
             else o_orderpriority end as subject, o_orderkey
 from orders"""
 _SEQ = """
 select repo, sha, author_name, author_email, author_time, {iso} as author_date, subject,
-       row_number() over (partition by repo order by author_time desc, o_orderkey desc) - 1 as seq from c0"""
+       cast(row_number() over (partition by repo order by author_time desc, o_orderkey desc) - 1 as bigint) as seq from c0"""
 _PATH = "concat('d', cast({k} % 9 as string), '/f', cast({k} as string), case {k} % 4 when 0 then '.py' when 1 then '.md' when 2 then '.js' else '' end)"
 _CHANGES = f"""
 select c.repo, c.sha, c.seq, c.author_name, c.author_email, c.author_time, c.author_date, c.subject,
@@ -39,7 +39,7 @@ _EVENTS = """
 select concat('repo', cast(user_id % 3 as string)) as repo, concat('d', cast(user_id % 9 as string), '/u', cast(user_id as string)) as path,
        case event_type when 'signup' then 'A' when 'error' then 'D' else 'M' end as status, cast(event_id as string) as sha,
        concat('a', cast(user_id % 7 as string)) as author, cast(floor(value) as bigint) as size,
-       row_number() over (partition by user_id % 3 order by ts desc, event_id desc) - 1 as seq, {ts} as date
+       cast(row_number() over (partition by user_id % 3 order by ts desc, event_id desc) - 1 as bigint) as seq, {ts} as date
 from events"""
 _TEXTS = "select lang as repo, concat(source, '/', lang, '/', cast(doc_id as string), '.txt') as path, text as content, doc_id from documents"
 _TAGS = """
@@ -51,7 +51,7 @@ select concat('repo', cast(s_suppkey % 3 as string)) as repo, s_name as name, 80
 from supplier"""
 _BLAME = f"""
 select {_PATH.format(k='l_partkey')} as path, cast(l_linenumber as bigint) as line, concat('a', cast(l_suppkey % 20 as string)) as author,
-       {{ship}} * 86400 as author_time from lineitem"""
+       cast({{ship}} as bigint) * 86400 as author_time from lineitem"""
 
 _PARTS = {
     "c0": _COMMITS, "commits": _SEQ, "file_changes": _CHANGES, "files": _FILES, "file_events": _EVENTS,
