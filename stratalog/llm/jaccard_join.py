@@ -1,7 +1,8 @@
 """An n-gram Jaccard self-join by R-trees over count vectors.
 
-A text's set of 5-word shingles is hashed into GROUPS groups; the counts of the groups are
-its point.  For two sets, the sum of the coordinates' minima bounds the overlap from above,
+A text's set of 5-word shingles is hashed into groups; the counts of the groups are its
+point.  Larger sets have more groups, by powers of two, so unrelated texts stay apart at every
+length; a point is folded in half to be compared with one of half as many groups.  For two sets, the sum of the coordinates' minima bounds the overlap from above,
 and so does the sum over the upper corners of two boxes of points.  An R-tree over the points
 therefore finds all pairs whose bound reaches what the similarity asks for, by walking it
 against itself; the surviving pairs are verified on the whole sets.
@@ -38,8 +39,8 @@ from .shared import narrowed, saved, table
 
 #: Two sets are similar when 100 * overlap >= PERCENT * union.
 PERCENT = 80
-#: Coordinates of a point.
-GROUPS = 32
+#: Coordinates of a point at least, and shingles per coordinate at most.
+GROUPS, PER_GROUP = 32, 4
 #: Members of a leaf of a tree, of a block of a tree and of a block of a family.
 LEAF, TREE, FAMILY = 16, 4096, 1024
 #: Texts that frequent shingles are learnt from, about, and the texts that hold a frequent one.
@@ -71,11 +72,35 @@ class Forest:
             self.edges.append((a, b))
 
 
-def tree_join(size: np.ndarray, point: np.ndarray, side: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs whose bound reaches the least overlap.
+def groups(n):
+    """Coordinates of the points of sets of n."""
+    return np.maximum(GROUPS, 1 << np.ceil(np.log2(np.maximum(n, 1) / PER_GROUP)).clip(0).astype(np.int64))
+
+
+def fold(point: np.ndarray, width: int) -> np.ndarray:
+    """The point of the same set with fewer groups."""
+    return point.reshape(-1, width).sum(axis=0)
+
+
+def tree_join(size: np.ndarray, points: list[np.ndarray], side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Edges that join all pairs whose bound reaches the least overlap, by a tree for each width of points.
 
     ``side``: if given, only pairs of different sides count.
     """
+    width = np.array([len(p) for p in points])
+    edges = []
+    for g in np.unique(width):
+        # the sets of this width, and those of the next that are within reach of them
+        near = (width == g) | ((width == 2 * g) & (size * PERCENT <= size[width == g].max() * 100))
+        pick = np.flatnonzero(near)
+        if len(pick) > 1:
+            found = one_tree(size[pick], np.stack([fold(points[k], g) for k in pick]), side[pick] if side is not None else None)
+            edges += [(int(pick[a]), int(pick[b])) for a, b in found]
+    return edges
+
+
+def one_tree(size: np.ndarray, point: np.ndarray, side: np.ndarray | None) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs whose bound reaches the least overlap, points of one width."""
     n = len(size)
     order = np.lexsort((point[:, 1 % point.shape[1]], point[:, 0], size))
     size, point = size[order].astype(np.int64), point[order].astype(np.int64)
@@ -136,7 +161,9 @@ def shapes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                 for seed in (11, 12):
                     run_ = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(keys, seed))])
                     sums.append((run_[at[1:]] - run_[at[:-1]]).view(np.int64))
-                point = np.bincount(owner * GROUPS + (keys >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=rows * GROUPS)
+                wide = groups(n)
+                base = np.concatenate([[0], np.cumsum(wide)])
+                point = np.bincount(base[owner] + ((keys >> np.uint64(32)).astype(np.int64) & (wide[owner] - 1)), minlength=base[-1]).astype(np.uint16)
                 # frequent shingles last, else by hash: the order only has to be the same everywhere
                 late = np.isin(keys, frequent) if len(frequent) else np.zeros(len(keys), bool)
                 by = np.lexsort((keys, late, owner))
@@ -147,12 +174,12 @@ def shapes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                 ends = np.concatenate([[0], np.cumsum(m)])
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(i, rows), pa.array(n), pa.array(sums[0]), pa.array(sums[1]),
-                    pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * GROUPS, pa.int32()), pa.array(point.astype(np.int32))),
+                    pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer((2 * base).astype(np.int32)), pa.py_buffer(point)]),
                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys[index].view(np.int64))),
                 ], ["doc_id", "n", "k1", "k2", "point", "index"])
 
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(
-        run, f"doc_id {key}, n long, k1 long, k2 long, point array<int>, index array<long>")
+        run, f"doc_id {key}, n long, k1 long, k2 long, point binary, index array<long>")
 
 
 def index_size(n):
@@ -208,9 +235,8 @@ def _groups(batches, names):
         yield held.combine_chunks(), np.array([0, held.num_rows])
 
 
-def _points(column) -> np.ndarray:
-    values = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return values.flatten().to_numpy().reshape(-1, GROUPS)
+def _points(column) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), np.uint16).astype(np.int64) for x in column.combine_chunks()]
 
 
 def _forests(batches):
@@ -219,9 +245,12 @@ def _forests(batches):
         rep, n, point = t.column("rep").to_numpy(), t.column("n").to_numpy(), _points(t.column("point"))
         block, cross = t.column("block").to_numpy(), t.column("i").to_numpy() != t.column("j").to_numpy()
         size = np.diff(cuts)
-        two = cuts[:-1][size == 2]  # most trees have two members
-        ok = np.minimum(point[two], point[two + 1]).sum(axis=1) >= least_overlap(n[two], n[two + 1])
-        a, b = [rep[two[ok]]], [rep[two[ok] + 1]]
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for s in cuts[:-1][size == 2]:  # most trees have two members
+            g = min(len(point[s]), len(point[s + 1]))
+            if np.minimum(fold(point[s], g), fold(point[s + 1], g)).sum() >= least_overlap(n[s], n[s + 1]):
+                a.append(rep[s : s + 1])
+                b.append(rep[s + 1 : s + 2])
         for s, e in zip(cuts[:-1][size > 2], cuts[1:][size > 2]):
             if edges := tree_join(n[s:e], point[s:e], block[s:e] if cross[s] else None):
                 x = np.array(edges) + s
