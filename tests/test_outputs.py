@@ -1,0 +1,54 @@
+import json
+
+import pytest
+from stratalog import registry
+from stratalog.sinks import render
+from stratalog.streaming import watch
+
+P = render.Provenance("x/v1", "src", "2020-01-01")
+
+
+def test_reports(spark):
+    df = spark.createDataFrame([("b", 2, None), ("a|<x>", 1, ["q"])], "name string, n long, tags array<string>")
+    rows = render.rows_of(df, ["name"])
+    assert json.loads(render.to_json(rows, P))["rows"][0]["name"] == "a|<x>"
+    assert render.to_csv(rows, ["name", "n", "tags"]) == 'name,n,tags\na|<x>,1,"[""q""]"\nb,2,\n'
+    assert "a\\|<x>" in render.to_markdown(rows, ["name", "n"], "T", P)
+    assert "&lt;x&gt;" in render.to_html(rows, ["name", "n"], "T", "n") and "width:100%" in render.to_html(rows, ["name", "n"], "T", "n")
+    with pytest.raises(render.TooLarge):
+        render.rows_of(df, ["name"], 1)
+    assert render.to_svg_grid({(0, 2): 4}).count("<rect") == 168
+    assert render.human_size(1500) == "1.5 kB" and render.ascii_tree(["z", "a/b"]) == "a/\n  b\nz\n"
+
+
+def test_archives_are_deterministic():
+    a = render.snapshot_archive({"b": b"2", "a": b"1"}, 1578621600, P)
+    assert a == render.snapshot_archive({"a": b"1", "b": b"2"}, 1578621600, P)
+    assert render.zip_archive({"a": b"1"}) == render.zip_archive({"a": b"1"})
+
+
+def test_watching(spark, tmp_path):
+    source = tmp_path / "in"
+    schema = "repo string, path string, size long, mtime long, gone boolean, tick long"
+    got, errors = [], []
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
+    for rows in ([("r", "a", 1, 1, False, 0), ("r", "b", 1, 1, False, 0)], [("r", "a", 2, 1, False, 1), ("r", "b", None, None, True, 1)]):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(str(source))
+        stream = spark.readStream.schema(schema).parquet(str(source))
+        q = watch.watch(stream, str(tmp_path / "check"), lambda df: got.extend(df.collect()), errors)
+        q.awaitTermination(120)
+    assert sorted((r.path, r.change) for r in got) == [("a", "added"), ("a", "changed"), ("b", "added"), ("b", "removed")] and not errors
+
+
+def test_fleet_and_registry(spark, tmp_path):
+    members = registry.fleet('[[repo]]\nsource = "https://h/x.git"\ntags = ["t"]\n[[repo]]\nsource = "/p/y"\n')
+    assert [(m.name, m.tags) for m in members] == [("x", ("t",)), ("y", ())]
+    with pytest.raises(ValueError):
+        registry.fleet('[[repo]]\nsource = "a"\n[[repo]]\nsource = "b/a"\n')
+    r = registry.standard()
+    r.load("bad", lambda _: 1 / 0)
+    assert "bad" in r.broken and r.suggest("hot")[0] == "hotspots"
+    out = registry.perform(spark, [("x", "bus_factor", {}), ("x", "hotspots", {"nope": 1})], r, lambda _: {"commits": spark.createDataFrame([], "repo string, author_name string, author_email string")})
+    assert [(x.ok, x.rows) for x in out.collect()] == [(True, 0), (False, None)]
+    (tmp_path / ".stratalog.toml").write_text("watch_seconds = 5.0\n")
+    assert registry.settings(tmp_path, {"STRATALOG_X": "1"})["watch_seconds"] == 5.0
