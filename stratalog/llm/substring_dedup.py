@@ -32,7 +32,7 @@ from .graph import components
 from .hashing import WIDTH, Words, chunks, distinct, mix, shingles, words
 from .shared import narrowed, saved, table
 
-LINE, BANDS, ROWS = 40, 6, 3
+LINE, BANDS, ROWS = 50, 6, 3
 PERCENT = 80
 WINDOW, REACH = 16, 16
 #: Words of the shortest span that is removed.
@@ -84,45 +84,53 @@ def lines(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.searchsorted(w.first, a, "right") - 1, a, b
 
 
-def bands(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, keys of the bands, first word, end word) of the lines."""
+def bands(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, keys of the bands, first word, end word, hash of all words) of the lines."""
     text, a, b = lines(w)
     at, h = _within(w)
     s, e = np.searchsorted(at, a), np.searchsorted(at, b - WIDTH + 1)
     if not len(a):
-        return text, np.zeros((0, BANDS), np.uint64), a, b
+        return text, np.zeros((0, BANDS), np.uint64), a, b, np.zeros(0, np.uint64)
+    run, size = _runs(a, b - a)
+    exact = mix(np.add.reduceat(mix(w.hash[run] + mix((run - np.repeat(a, b - a)).astype(np.uint64))), np.cumsum(size) - size), 8)
     # only shingles of the lines, one line after the other
-    size = e - s
-    run = np.repeat(s - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-    own, starts = h[run], np.concatenate([[0], np.cumsum(size)[:-1]])
+    run, size = _runs(s, e - s)
+    own, starts = h[run], np.cumsum(size) - size
     keys = np.zeros((len(a), BANDS), np.uint64)
     for p in range(BANDS * ROWS):
         odd = np.uint64((0x9E3779B97F4A7C15 * (2 * p + 1)) % 2**64 | 1)
         keys[:, p // ROWS] += mix(np.minimum.reduceat(own * odd, starts), 40 + p)
-    return text, mix(keys + np.arange(BANDS, dtype=np.uint64), 4), a - w.first[text], b - w.first[text]
+    return text, mix(keys + np.arange(BANDS, dtype=np.uint64), 4), a - w.first[text], b - w.first[text], exact
+
+
+def _runs(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of runs, one run after the other, and the runs' sizes."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum()), size
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """key, doc_id, place: each collision key of each paragraph.
+    """key, doc_id, place, exact: each collision key of each paragraph.
 
-    ``place`` holds the first and the end word and, in its last bit, whether it is a line.
+    ``place`` holds the first and the end word and, in its last bit, whether it is a line;
+    ``exact`` is the hash of all words of a line, 0 for a window.
     """
     def run(batches):
         for batch in batches:
             for i, j, w in chunks(batch.column(1)):
                 ids = batch.column(0).slice(i, j - i).to_numpy()
                 t, key, a, b = windows(w)
-                t2, keys, a2, b2 = bands(w)
+                t2, keys, a2, b2, exact = bands(w)
                 own = np.repeat(_place(a2, b2, 1), BANDS)
                 cols = [
                     np.concatenate([key, keys.ravel()]).view(np.int64),
                     np.concatenate([ids[t], np.repeat(ids[t2], BANDS)]),
                     np.concatenate([_place(a, b, 0), own]),
+                    np.concatenate([np.zeros(len(t), np.uint64), np.repeat(exact, BANDS)]).view(np.int64),
                 ]
                 for k in range(0, len(cols[0]), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 100_000]) for c in cols], ["key", "doc_id", "place"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 100_000]) for c in cols], ["key", "doc_id", "place", "exact"])
 
-    return docs.mapInArrow(run, "key long, doc_id long, place long")
+    return docs.mapInArrow(run, "key long, doc_id long, place long, exact long")
 
 
 def _place(first: np.ndarray, last: np.ndarray, line: int) -> np.ndarray:
@@ -175,18 +183,20 @@ def repeats(docs: DataFrame) -> DataFrame:
     # windows: equal words, so a collision is a component and its least document keeps the passage
     gone = hits.filter("place % 2 = 0 and doc_id <> head").select("doc_id", "place", F.col("head").alias("kept_doc"))
 
-    # lines: verify against the line of the least document, then components
-    uid = F.xxhash64("doc_id", "place").alias("uid")
-    near = hits.filter("place % 2 = 1").select("key", "doc_id", "place", "head", uid)
-    known = saved(near.select("uid", "doc_id", "place").distinct())
-    least = near.filter("doc_id = head").groupBy("key").agg(F.min("uid").alias("other"))
-    pairs = near.join(least, "key").filter("uid <> other").select("uid", "other").distinct()
-    sets = saved(_line_sets(docs, known).dropDuplicates(["uid"]))
+    # lines: equal ones are one; different ones are verified against a line of the least document
+    near = hits.filter("place % 2 = 1").select("key", "doc_id", "place", "head", "exact")
+    known = saved(near.select("exact", "doc_id", "place").distinct())
+    least = near.filter("doc_id = head").groupBy("key").agg(F.min("exact").alias("other"))
+    pairs = saved(near.select("key", "exact").distinct().join(least, "key").filter("exact <> other").select(F.col("exact").alias("uid"), "other").distinct())
+    asked = pairs.select("uid").union(pairs.select("other")).distinct()
+    one = known.groupBy(F.col("exact").alias("uid")).agg(F.min(F.struct("doc_id", "place")).alias("p")).join(asked, "uid").select("uid", "p.doc_id", "p.place")
+    sets = saved(_line_sets(docs, one).dropDuplicates(["uid"]))
     both = (pairs.join(sets, "uid").join(sets.select(F.col("uid").alias("other"), F.col("set").alias("other_set")), "other")
             .withColumn("n", F.size(F.array_intersect("set", "other_set"))))
     edges = both.filter(F.lit(100) * F.col("n") >= F.lit(PERCENT) * (F.size("set") + F.size("other_set") - F.col("n"))).select(
         F.col("uid").alias("a"), F.col("other").alias("b"))
-    member = components(edges).join(known, F.col("id") == F.col("uid")).select("component", "doc_id", "place")
+    joined = components(edges).select(F.col("id").alias("exact"), "component")
+    member = known.join(joined, "exact", "left").select(F.coalesce("component", "exact").alias("component"), "doc_id", "place")
     keeper = member.groupBy("component").agg(F.min("doc_id").alias("kept_doc"))
     gone = gone.unionByName(member.join(keeper, "component").filter("doc_id <> kept_doc").select("doc_id", "place", "kept_doc"))
     gone = gone.select("doc_id", F.expr(FIRST).alias("first"), F.expr(LAST).alias("last"), "kept_doc")
