@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.scalars import FIX_WORDS
-from ..operators import deps, files as fs, history as h, hygiene as hy, outline, pack, risk, text
+from ..functions.scalars import FIX_WORDS, round3 as r3, unsafe_path as s_unsafe
+from ..operators import deps, files as fs, history as h, hygiene as hy, outline, pack, profile, risk, text
 from .views import NOW, sql, view
 
 #: name -> (query, SQL or None)
@@ -248,6 +248,37 @@ select repo, name, '1.2.3' as version, string_agg(id, ',' order by id) as ids fr
         t.sparkSession.range(0, 50, 5).crossJoin(t.sparkSession.range(2).withColumnRenamed("id", "j")).select(
             F.concat(F.lit("p"), F.col("id").cast("string")).alias("name"), F.lit("1.2.3").alias("version"), F.lit("npm").alias("ecosystem"), F.concat(F.lit("ADV-"), F.col("j").cast("string")).alias("advisory"))))
 
+# ---- profile, gates, windows
+_add("hotspots_with_fixes", f""", n as (select repo, path, count(*) as commits, cast(sum(coalesce(insertions, 0) + coalesce(deletions, 0)) as bigint) as churn,
+  count(*) filter ({FIX}) as fixes from file_changes group by 1, 2)
+select * from (select *, row_number() over (partition by repo order by commits desc, churn desc, path) as rank from n) where rank <= 10""", "file_changes")(profile.hotspots_with_fixes)
+_add("layout", "select repo, split_part(path, '/', 1) as dir, count(*) as files, cast(sum(size) as bigint) as bytes from files group by 1, 2", "files")(profile.layout)
+_STAMPED = "concat('---\nsource: ', path, '\nsha: ', case when doc_id % 3 = 0 then 'unknown' else cast(doc_id as string) end, '\n')"
+_add("stamps", """select repo, replace(path, '.txt', '/SKILL.md') as path, path as source, case when doc_id % 3 <> 0 then cast(doc_id as varchar) end as sha, 'repo' as profile from texts""", "texts")(
+    lambda t: profile.stamps(t.withColumn("content", F.expr(_STAMPED)).withColumn("path", F.replace("path", F.lit(".txt"), F.lit("/SKILL.md")))))
+_MADE = "concat('test:\n\tpytest\nbuild', cast(doc_id % 5 as string), ': x\nV:=1\n')"
+_add("tooling", """select distinct repo, 'make test' as command, 'test' as kind, 'Makefile' as origin from texts
+union all select distinct repo, 'make build' || (doc_id % 5), 'other', 'Makefile' from texts""", "texts")(
+    lambda t: profile.tooling(t.withColumn("content", F.expr(_MADE)).withColumn("path", F.lit("Makefile"))))
+_add("unsafe_paths", """select path, case when path = '' then 'malformed path' when path like '/%' then 'absolute path' when list_contains(string_split(path, '/'), '..') then 'path traversal'
+  when list_contains(string_split(path, '/'), '') or list_contains(string_split(path, '/'), '.') then 'malformed path' end as reason
+from (select case doc_id % 5 when 0 then '/' || path when 1 then replace(path, '/', '/../') when 2 then replace(path, '/', '//') when 3 then replace(path, '/', '/./') else path end as path from texts)""", "texts")(
+    lambda t: t.select(F.expr("case doc_id % 5 when 0 then concat('/', path) when 1 then replace(path, '/', '/../') when 2 then replace(path, '/', '//') when 3 then replace(path, '/', '/./') else path end").alias("path"))
+    .select("path", s_unsafe(F.col("path")).alias("reason")))
+_add("score_gate", f", {RISK} select repo, count(*) filter (score >= 0.6) as violations, count(*) filter (score >= 0.6) = 0 as held from risk group by 1", "file_changes", "files")(
+    lambda c, f: risk.risk_scores(c, f, NOW).groupBy("repo").agg(F.sum((F.col("score") >= 0.6).cast("long")).alias("violations"), (F.sum((F.col("score") >= 0.6).cast("long")) == 0).alias("held")))
+
+
+def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..streaming.watch import activity_windows
+
+    w = activity_windows(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    return w.select(F.date_format("window.start", "yyyy-MM-dd'T'HH:mm:ss").alias("start"), "event_type", "n", r3(F.col("total")).alias("total"))
+
+
+_FOUND["activity_windows"] = (_windows, """select strftime(time_bucket(interval 1 hour, ts), '%Y-%m-%dT%H:%M:%S') as start, event_type, count(*) as n,
+  floor(sum(value) * 1000 + 0.5) / 1000 as total from events group by 1, 2""")
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: query for name, (query, _) in _FOUND.items()}
