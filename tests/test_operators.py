@@ -198,3 +198,30 @@ def test_same_result_under_other_partitionings(spark):
             spark.conf.set("spark.sql.shuffle.partitions", "4")
 
     assert run("1") == run("7")
+
+
+def test_profile(spark):
+    from stratalog.operators import profile
+
+    t = spark.createDataFrame([
+        ("r", "pyproject.toml", "[tool.pytest]\n[tool.ruff]\n[project.scripts]\ngo = 'x:y'\n"), ("r", "Makefile", "test: a\n\tpytest\nV:=1\n.PHONY: test\n"),
+        ("r", "package.json", '{"scripts": {"dev": "x", "odd": "y"}}'), ("r", ".github/workflows/ci.yml", "  - run: pytest\n  - run: pip install x\n  - run: |\n  - run: npm run build\n"),
+        ("r", "k/SKILL.md", "source: https://x\nsha: unknown\n"), ("r", "j/SKILL.md", "source: y\nsha: abc\nprofile: p\n"), ("r", "n/SKILL.md", "none")], TEXTS)
+    got = {r.command: (r.kind, r.origin) for r in profile.tooling(t).collect()}
+    assert got["pytest"] == ("test", "pyproject.toml") and got["npm run build"] == ("build", ".github/workflows/ci.yml") and got["npm run dev"] == ("run", "package.json")
+    assert got["make test"] == ("test", "Makefile") and "pip install x" not in got and "make V" not in got
+    rows = {r.path: (r.source, r.sha, r.profile) for r in profile.stamps(t).collect()}
+    assert rows == {"k/SKILL.md": ("https://x", None, "repo"), "j/SKILL.md": ("y", "abc", "p")}
+    heads = spark.createDataFrame([("r", "abc")], "repo string, sha string")
+    assert [r.path for r in profile.stale_stamps(t, heads).collect()] == ["k/SKILL.md"]
+
+
+def test_resolve(tmp_path, history):
+    from stratalog.sources import resolve
+
+    assert resolve.resolve(str(history), tmp_path).kind == "local"
+    with pytest.raises(FileNotFoundError):
+        resolve.resolve(str(tmp_path / "none"), tmp_path)
+    far = resolve.resolve(f"file://{history}", tmp_path / "cache", depth=None)
+    assert far.kind == "remote" and resolve.resolve(f"file://{history}", tmp_path / "cache").path == far.path
+    assert resolve.purge(tmp_path / "cache") and not list((tmp_path / "cache").iterdir())
