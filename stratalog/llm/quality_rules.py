@@ -133,17 +133,19 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     """
     m = saved(rates(measures(docs)))
     sketch = sketches(m)
-    # one row for each language and source, for each language, and one: AQE broadcasts what is small
+    # one row for each language and source, and for each language: AQE broadcasts what is small
     out = m
-    for keys, name in ((["lang", "source"], "own"), (["lang"], "wider"), ([], "widest")):
+    for keys, name in ((["lang", "source"], "own"), (["lang"], "wider")):
         f = fences(sketch, keys, name)
-        if keys:
-            f = f.select(*[F.col(k).alias(f"{name}_{k}") for k in keys], name)
-            out = out.join(f, [out[k].eqNullSafe(f[f"{name}_{k}"]) for k in keys], "left")
-        else:
-            out = out.crossJoin(f)  # a single row
-    fence = lambda k: F.when(F.col("own")[k]["docs"] >= LEAST, F.col("own")[k]).when(
-        F.col("wider")[k]["docs"] >= LEAST, F.col("wider")[k]).otherwise(F.col("widest")[k])
+        f = f.select(*[F.col(k).alias(f"{name}_{k}") for k in keys], name)
+        out = out.join(f, [out[k].eqNullSafe(f[f"{name}_{k}"]) for k in keys], "left")
+    # the fences of all documents are one small row, which becomes part of the plan
+    row = fences(sketch, [], "widest").head()
+    kind = "struct<docs:bigint,low:bigint,high:bigint>"
+    every = {k: v.asDict() for k, v in (row["widest"] if row and row["widest"] else {}).items()}
+    widest = {k: F.struct(*[F.lit(every[k][x]).alias(x) for x in ("docs", "low", "high")]).cast(kind) if k in every else F.lit(None).cast(kind) for k in SLACK}
+    fence = lambda k: F.when(F.col("own")[k]["docs"] >= LEAST, F.col("own")[k].cast(kind)).when(
+        F.col("wider")[k]["docs"] >= LEAST, F.col("wider")[k].cast(kind)).otherwise(widest[k])
     broken = F.array_compact(F.array(*[
         F.when((F.col(k) > fence(k)["high"]) | ((F.lit(k) == "word_length") & (F.col(k) < fence(k)["low"])), F.lit(k))
         for k in SLACK
