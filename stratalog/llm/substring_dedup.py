@@ -177,7 +177,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     docs = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
             .filter("doc_id is not null and text is not null"))
     units = paragraphs(docs)
-    heads = units.groupBy("key").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("other")).filter("head <> other").select("key", "head")
+    # saved, so that both sides of the join are plain exchanges and Spark can split a hot key's rows
+    heads = saved(units.groupBy("key").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("other")).filter("head <> other").select("key", "head"))
     hits = saved(units.join(heads, "key"))
 
     # windows: equal words, so a collision is a component and its least document keeps the passage
