@@ -146,11 +146,11 @@ def test_blocks_and_skills(spark):
 
 
 def test_outline_and_dependencies(spark):
-    src = "import os\nclass Reaper(Tool):\n    def reap(self, souls: int=1) -> int:\n        pass\nasync def summon():\n    '''Doc.'''\n"
+    src = "import os\nclass Parser(Tool):\n    def parse(self, times: int=1) -> int:\n        pass\nasync def load():\n    '''Doc.'''\n"
     t = spark.createDataFrame([("r", "a.py", src), ("r", "bad.py", "def ("), ("r", "x.go", "package x")], TEXTS)
     rows = outline.code_outline(t).collect()
     assert [(r.kind, r.depth, r.signature) for r in rows if r.path == "a.py"][1:] == [
-        ("class", 0, "class Reaper(Tool)"), ("method", 1, "def reap(self, souls: int=1) -> int"), ("function", 0, "async def summon()")]
+        ("class", 0, "class Parser(Tool)"), ("method", 1, "def parse(self, times: int=1) -> int"), ("function", 0, "async def load()")]
     assert {r.path: (r.parsed, r.error) for r in rows if r.path != "a.py"} == {"bad.py": (False, "SyntaxError"), "x.go": (False, "no parser")}
     m = spark.createDataFrame([
         ("r", "requirements.txt", "flask==3.0.0 ; python_version > '3'\ndjango>=4\n# c\nclick\n"), ("r", "package.json", '{"dependencies": {"lodash": "^4.0.0"}, "devDependencies": {"x": "1.2.3"}}'),
