@@ -4,14 +4,15 @@ Passages stand at any place of a line, so a text has two kinds of paragraphs:
 
 * its lines of LINE words or more, which may differ a little: BANDS bands of ROWS minima over
   5-word shingles collide for nearly all pairs of Jaccard similarity 0.8 (98.7 %; 99.9 % at
-  0.9); colliding lines are verified by their exact Jaccard similarity;
+  0.9); families of colliding lines are verified by their exact Jaccard similarity;
 * windows of WINDOW words that begin at places chosen by content (the least shingle hash of
   any REACH in a row), so equal passages hold equal windows wherever they stand: a passage of
   WINDOW + REACH - 1 words holds one at least.  Windows collide by the hash of all their words.
 
-Within a collision every paragraph is joined to the least, never to each other.  Verified
-pairs form components; of a component the paragraph with the least (doc_id, place) stays, the
-others are removals.  A document's removals are united to spans; spans of LEAST words or more
+Equal windows and equal lines are joined to the least of them, never to each other.  Different
+lines that collide, directly or over others, form families; every pair of a family's lines is
+verified where the family lies, in blocks where it is large.  Verified pairs form components; of
+a component the paragraphs of the least document stay, the others are removals.  A document's removals are united to spans; spans of LEAST words or more
 go.  Any passage of LEAST + 2 * (REACH - 1) words that two documents share is found.
 
 What is shuffled is a few dozen bytes for each paragraph; a hot passage is pre-aggregated to
@@ -29,11 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .graph import components
-from .hashing import WIDTH, Words, chunks, distinct, mix, shingles, words
+from .hashing import WIDTH, Words, chunks, mix, words
+from .jaccard_join import FAMILY, _blocks, _links
 from .shared import narrowed, saved, table
 
 LINE, BANDS, ROWS = 50, 6, 3
-PERCENT = 80
 WINDOW, REACH = 16, 16
 #: Words of the shortest span that is removed.
 LEAST = 20
@@ -84,15 +85,22 @@ def lines(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.searchsorted(w.first, a, "right") - 1, a, b
 
 
+def wholes(w: Words, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The hash of all words of each line."""
+    if not len(a):
+        return np.zeros(0, np.uint64)
+    run, size = _runs(a, b - a)
+    return mix(np.add.reduceat(mix(w.hash[run] + mix((run - np.repeat(a, b - a)).astype(np.uint64))), np.cumsum(size) - size), 8)
+
+
 def bands(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, keys of the bands, first word, end word, hash of all words) of the lines."""
     text, a, b = lines(w)
+    exact = wholes(w, a, b)
     at, h = _within(w)
     s, e = np.searchsorted(at, a), np.searchsorted(at, b - WIDTH + 1)
     if not len(a):
-        return text, np.zeros((0, BANDS), np.uint64), a, b, np.zeros(0, np.uint64)
-    run, size = _runs(a, b - a)
-    exact = mix(np.add.reduceat(mix(w.hash[run] + mix((run - np.repeat(a, b - a)).astype(np.uint64))), np.cumsum(size) - size), 8)
+        return text, np.zeros((0, BANDS), np.uint64), a, b, exact
     # only shingles of the lines, one line after the other
     run, size = _runs(s, e - s)
     own, starts = h[run], np.cumsum(size) - size
@@ -108,11 +116,17 @@ def _runs(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum()), size
 
 
+def _rows(*columns: np.ndarray, names: list[str]):
+    """Record batches of bounded size."""
+    for k in range(0, len(columns[0]), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 100_000]) for c in columns], names)
+
+
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """key, doc_id, place, exact: each collision key of each paragraph.
+    """key, id, place: each collision key of each paragraph.
 
-    ``place`` holds the first and the end word and, in its last bit, whether it is a line;
-    ``exact`` is the hash of all words of a line, 0 for a window.
+    A window's key and the hash of all words of a line have the document as ``id`` and the
+    place there; the key of a line's band has the line's hash as ``id`` and the place BAND.
     """
     def run(batches):
         for batch in batches:
@@ -120,53 +134,51 @@ def paragraphs(docs: DataFrame) -> DataFrame:
                 ids = batch.column(0).slice(i, j - i).to_numpy()
                 t, key, a, b = windows(w)
                 t2, keys, a2, b2, exact = bands(w)
-                own = np.repeat(_place(a2, b2, 1), BANDS)
-                cols = [
-                    np.concatenate([key, keys.ravel()]).view(np.int64),
-                    np.concatenate([ids[t], np.repeat(ids[t2], BANDS)]),
-                    np.concatenate([_place(a, b, 0), own]),
-                    np.concatenate([np.zeros(len(t), np.uint64), np.repeat(exact, BANDS)]).view(np.int64),
-                ]
-                for k in range(0, len(cols[0]), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 100_000]) for c in cols], ["key", "doc_id", "place", "exact"])
+                yield from _rows(
+                    np.concatenate([key, exact, keys.ravel()]).view(np.int64),
+                    np.concatenate([ids[t], ids[t2], np.repeat(exact, BANDS).view(np.int64)]),
+                    np.concatenate([_place(a, b), _place(a2, b2), np.full(keys.size, BAND)]),
+                    names=["key", "id", "place"])
 
-    return docs.mapInArrow(run, "key long, doc_id long, place long, exact long")
+    return docs.mapInArrow(run, "key long, id long, place long")
 
 
-def _place(first: np.ndarray, last: np.ndarray, line: int) -> np.ndarray:
-    return (first.astype(np.int64) << 32) | (last.astype(np.int64) << 1) | line
+def occurrences(docs: DataFrame) -> DataFrame:
+    """exact, doc_id, place: the hash of all words of each line, and where it stands."""
+    def run(batches):
+        for batch in batches:
+            for i, j, w in chunks(batch.column(1)):
+                ids = batch.column(0).slice(i, j - i).to_numpy()
+                t, a, b = lines(w)
+                yield from _rows(wholes(w, a, b).view(np.int64), ids[t], _place(a - w.first[t], b - w.first[t]), names=["exact", "doc_id", "place"])
+
+    return docs.mapInArrow(run, "exact long, doc_id long, place long")
 
 
-#: The parts of a place, as SQL.
-FIRST, LAST = "shiftright(place, 32)", "shiftright(place, 1) & 2147483647"
+def _place(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    return (first.astype(np.int64) << 32) | last.astype(np.int64)
 
 
-def _line_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """uid and the set of shingles of each needed line (uid, doc_id, place)."""
-    by_doc = needed.groupBy("doc_id").agg(F.collect_list(F.struct("uid", F.expr(FIRST).alias("first"), F.expr(LAST).alias("last"))).alias("want"))
+#: The parts of a place, as SQL; the place of a band's key.
+FIRST, LAST, BAND = "shiftright(place, 32)", "place & 4294967295", -1
+
+
+def _line_texts(docs: DataFrame, needed: DataFrame) -> DataFrame:
+    """rep and the text of each needed line (rep, doc_id, place)."""
+    by_doc = needed.groupBy("doc_id").agg(F.collect_list(F.struct("rep", F.expr(FIRST).alias("first"), F.expr(LAST).alias("last"))).alias("want"))
 
     def run(batches):
         for batch in batches:
             want = batch.column(1)
             for i, j, w in chunks(batch.column(0)):
-                uids, parts = [], []
+                reps, texts = [], []
                 for r in range(i, j):
                     for x in want[r].as_py():
-                        a = w.first[r - i] + x["first"]
-                        b = w.first[r - i] + x["last"]
-                        uids.append(x["uid"])
-                        parts.append((a, b))
-                if not uids:
-                    continue
-                n = np.array([b - a for a, b in parts])
-                take = np.concatenate([np.arange(a, b) for a, b in parts])
-                one = Words(w.data, w.texts, w.start[take], w.end[take], w.hash[take], np.concatenate([[0], np.cumsum(n)]))
-                owner, keys = distinct(*shingles(one))
-                at = np.searchsorted(owner, np.arange(len(n) + 1))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(uids, pa.int64()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(keys.view(np.int64)))], ["uid", "set"])
-
-    return narrowed(docs, needed).join(by_doc, "doc_id").select("text", "want").mapInArrow(run, "uid long, set array<long>")
+                        reps.append(x["rep"])
+                        texts.append(w.data[w.start[w.first[r - i] + x["first"]] : w.end[w.first[r - i] + x["last"] - 1]].tobytes().decode())
+                yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(texts, pa.string())], ["rep", "text"])
+
+    return narrowed(docs, needed).join(by_doc, "doc_id").select("text", "want").mapInArrow(run, "rep long, text string")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -178,26 +190,24 @@ def repeats(docs: DataFrame) -> DataFrame:
             .filter("doc_id is not null and text is not null"))
     units = paragraphs(docs)
     # saved, so that both sides of the join are plain exchanges and Spark can split a hot key's rows
-    heads = saved(units.groupBy("key").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("other")).filter("head <> other").select("key", "head"))
-    hits = saved(units.join(heads, "key"))
-
-    # windows: equal words, so a collision is a component and its least document keeps the passage
-    gone = hits.filter("place % 2 = 0 and doc_id <> head").select("doc_id", "place", F.col("head").alias("kept_doc"))
-
-    # lines: equal ones are one; different ones are verified against a line of the least document
-    near = hits.filter("place % 2 = 1").select("key", "doc_id", "place", "head", "exact")
-    known = saved(near.select("exact", "doc_id", "place").distinct())
-    least = near.filter("doc_id = head").groupBy("key").agg(F.min("exact").alias("other"))
-    pairs = saved(near.select("key", "exact").distinct().join(least, "key").filter("exact <> other").select(F.col("exact").alias("uid"), "other").distinct())
-    asked = pairs.select("uid").union(pairs.select("other")).distinct()
-    one = known.groupBy(F.col("exact").alias("uid")).agg(F.min(F.struct("doc_id", "place")).alias("p")).join(asked, "uid").select("uid", "p.doc_id", "p.place")
-    sets = saved(_line_sets(docs, one).dropDuplicates(["uid"]))
-    both = (pairs.join(sets, "uid").join(sets.select(F.col("uid").alias("other"), F.col("set").alias("other_set")), "other")
-            .withColumn("n", F.size(F.array_intersect("set", "other_set"))))
-    edges = both.filter(F.lit(100) * F.col("n") >= F.lit(PERCENT) * (F.size("set") + F.size("other_set") - F.col("n"))).select(
-        F.col("uid").alias("a"), F.col("other").alias("b"))
-    joined = components(edges).select(F.col("id").alias("exact"), "component")
-    member = known.join(joined, "exact", "left").select(F.coalesce("component", "exact").alias("component"), "doc_id", "place")
+    heads = saved(units.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("other")).filter("head <> other").select("key", "head"))
+    hits = saved(units.join(heads, "key").filter("id <> head").select("id", "head", "place"))
+
+    # windows and equal lines: a collision is a component and its least document keeps the passage
+    gone = hits.filter(F.col("place") != BAND).select(F.col("id").alias("doc_id"), "place", F.col("head").alias("kept_doc"))
+
+    # different lines: those that collide, directly or over others, are a family, and all its pairs are verified
+    family = components(hits.filter(F.col("place") == BAND).select(F.col("id").alias("a"), F.col("head").alias("b"))).select(
+        F.col("id").alias("exact"), F.col("component").alias("family"))
+    family = saved(family.join(family.groupBy("family").agg(F.count("*").alias("members")), "family"))
+    known = saved(occurrences(docs).join(family.select("exact"), "exact").distinct())
+    one = known.groupBy(F.col("exact").alias("rep")).agg(F.min(F.struct("doc_id", "place")).alias("p")).select("rep", "p.doc_id", "p.place")
+    texts = _line_texts(docs, one).dropDuplicates(["rep"]).join(family.withColumnRenamed("exact", "rep"), "rep")
+    dealt = _blocks(texts.select("family", "members", "rep", "text"), "family", "members", FAMILY)
+    ordered = dealt.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "rep")
+    links = ordered.select("family", "i", "j", "block", "rep", "text").mapInArrow(_links, "a long, b long").distinct()
+    joined = components(links).select(F.col("id").alias("exact"), "component")
+    member = known.join(joined, "exact").select("component", "doc_id", "place")
     keeper = member.groupBy("component").agg(F.min("doc_id").alias("kept_doc"))
     gone = gone.unionByName(member.join(keeper, "component").filter("doc_id <> kept_doc").select("doc_id", "place", "kept_doc"))
     gone = gone.select("doc_id", F.expr(FIRST).alias("first"), F.expr(LAST).alias("last"), "kept_doc")

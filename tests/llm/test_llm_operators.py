@@ -249,6 +249,21 @@ def test_substring_dedup(spark):
     assert substring_dedup.repeats(docs.limit(0)).count() == 0
 
 
+def test_substring_dedup_links_variants_without_their_oldest(spark):
+    rng = random.Random(9)
+    lines, texts = [], []
+    for _ in range(3):  # chains of variants; the ends of a chain are far from each other
+        t = prose(rng, 90).split()
+        for _ in range(30):
+            t = list(t)
+            t[rng.randrange(90)] = f"new{rng.randrange(9999)}"
+            lines.append(" ".join(t))
+    texts = [f"{prose(rng, 20)}\n{x}" for x in lines]
+    want = {i for i, (_, c) in brute_components(lines).items() if c != i}
+    got = {r.doc_id for r in substring_dedup.repeats(frame(spark, texts)).filter("first = 20 and n_words = 90").collect()}
+    assert len(want) > 60 and got == want
+
+
 def test_byte_bpe(spark, odd):
     import public_tokenizers as public
     import tiktoken
