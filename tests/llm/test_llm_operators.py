@@ -264,6 +264,23 @@ def test_substring_dedup_links_variants_without_their_oldest(spark):
     assert len(want) > 60 and got == want
 
 
+def test_substring_dedup_of_short_lines_and_passages(spark):
+    rng = random.Random(10)
+    texts, want = [], {}
+    for n in range(30, 50):  # near copies of short paragraphs
+        t = prose(rng, n).split()
+        texts += [f"{prose(rng, 12)}\n{' '.join(t)}", f"{prose(rng, 15)}\n{' '.join(['edited', *t[1:]])}"]
+        want[len(texts) - 1] = (15, 15 + n)
+    at = len(texts)
+    for _ in range(40):  # passages in the middle of lines
+        t = prose(rng, 42)
+        texts += [f"{prose(rng, 60)} {t} {prose(rng, 60)}", f"{prose(rng, 70)} {t} {prose(rng, 50)}"]
+    got = {r.doc_id: (r.first, r.last) for r in substring_dedup.repeats(frame(spark, texts)).collect()}
+    assert {i: v for i, v in got.items() if i < at} == want
+    assert {i for i in got if i >= at} == set(range(at + 1, len(texts), 2))
+    assert all(got[i][0] - 70 <= 11 and 112 - got[i][1] <= 11 for i in range(at + 1, len(texts), 2))
+
+
 def test_byte_bpe(spark, odd):
     import public_tokenizers as public
     import tiktoken
