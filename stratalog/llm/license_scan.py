@@ -1,6 +1,8 @@
 """License scans by recognising sentences.
 
-A text's sentences are normalised and looked up among known license sentences; the
+A text is normalised and searched for known license sentences.  One counts where it begins and
+ends at the bounds of a line or sentence; within it, the text may be wrapped at any word, with
+comment marks before each line, but a blank line ends it.  The
 identifiers found, in order, are matched against ordered license rules.  A rule is a
 sequence of identifiers that must stand together, in this order; the rules are tried from
 the most to the least specific, and identifiers that a rule has taken count for no other.
@@ -54,20 +56,49 @@ RULES = (
     ("CC-BY-SA-4.0", "copyleft", ("C3",)),
     ("proprietary", "reserved", ("R1",)),
 )
+#: Forms in which license texts have these sentences and others; (identifiers, form).
+FORMS = (
+    ("M3", "the above copyright notice and this permission notice including the next paragraph shall be included in all copies or substantial portions of the software"),
+    ("A1", "licensed under the apache license version 2 0 the license"),
+    ("A1 A2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"),
+    ("G3", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"),
+    ("G4", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
+    ("L1", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version"),
+    ("L2", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("P1", "this source code form is subject to the terms of the mozilla public license v"),  # a full stop follows
+    ("I1", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("I1", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("U1", "this is free and unencumbered software released into the public domain"),
+)
+#: The rules of the identifiers that only FORMS has.
+MORE_RULES = (
+    ("GPL-2.0-notice", "copyleft", ("G4", "G3")),
+    ("GPL-2.0-notice", "copyleft", ("G4",)),
+    ("LGPL-2.1-notice", "copyleft", ("L1",)),
+    ("LGPL-3.0-notice", "copyleft", ("L2",)),
+    ("MPL-2.0-notice", "copyleft", ("P1",)),
+    ("ISC", "permissive", ("I1",)),
+    ("Unlicense", "permissive", ("U1",)),
+)
 ID = 2  # characters of an identifier
 
 
-def sentences(text: Column) -> Column:
-    """The normalised sentences of a text, in order."""
-    one = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[.!?]+[ \t\r\n]+|\n+", "\n")
-    return F.transform(F.split(F.regexp_replace(one, r"[^a-z0-9\n]+", " "), "\n"), lambda s: F.trim(s))
+def normalised(text: Column) -> Column:
+    """Lower-case words, one space between them; ``\\n`` for an end of sentence or paragraph, ``\\r`` for one of a line."""
+    one = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[.!?]+[ \t\r\n]+", "\x01")
+    one = F.translate(F.regexp_replace(one, r"[^a-z0-9\n\x01]+", " "), "\n\x01", "\r\n")
+    one = F.regexp_replace(one, r" ?([\r\n]) ?", "$1")
+    return F.concat(F.lit("\n"), F.trim(F.regexp_replace(one, r"\r[\r\n]+|\n[\r\n]+", "\n")), F.lit("\n"))
 
 
 def found(text: Column) -> Column:
     """The identifiers of a text's known sentences, in order."""
-    known = F.filter(sentences(text), lambda s: s.isin(*SENTENCES.values()))
-    name = F.create_map(*[F.lit(x) for k, v in SENTENCES.items() for x in (v, k)])
-    return F.transform(known, lambda s: F.element_at(name, s))
+    names = {v: k for k, v in SENTENCES.items()} | {v: k for k, v in FORMS}
+    # the longest first, as one may begin like another
+    either = "|".join(v.replace(" ", "[ \r]") for v in sorted(names, key=len, reverse=True))
+    known = F.regexp_extract_all(normalised(text), F.lit(rf"(?<=[\r\n])(?:{either})(?=[\r\n])"), F.lit(0))
+    name = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
+    return F.transform(known, lambda s: F.element_at(name, F.translate(s, "\r", " ")))
 
 
 def license_scan(docs: DataFrame) -> DataFrame:
@@ -75,7 +106,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
     out = docs.select("doc_id", F.array_join(found(F.col("text")), " ").alias("sentence_ids"))
     left = F.concat(F.lit(" "), F.col("sentence_ids"), F.lit(" "))
     hits = []
-    for name, kind, ids in RULES:
+    for name, kind, ids in RULES + MORE_RULES:
         # each identifier has its own spaces, so neighbours both match
         out = out.withColumn("left", F.regexp_replace(left, " ", "  ")) if "left" not in out.columns else out
         seq = " " + "  ".join(ids) + " "
@@ -94,6 +125,7 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
+    # one-line notices of SENTENCES only, which is all that the given tables hold
     known = ", ".join(f"'{v}'" for v in SENTENCES.values())
     names = ", ".join(f"'{v}': '{k}'" for k, v in SENTENCES.items())
     steps, last = [], "l0"

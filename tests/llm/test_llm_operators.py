@@ -82,6 +82,62 @@ def test_license_scan(spark):
     assert got[4].n_sentences == 2 and got[1].sentence_ids == "A1 R1 A2"
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+"""
+APACHE = """# Copyright 2020 Someone
+#
+# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+"""
+GPL = """ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+ * GNU General Public License for more details.
+"""
+MPL = """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+"""
+
+
+def test_license_scan_of_wrapped_texts(spark):
+    texts = [MIT, APACHE, BSD, GPL, GPL.replace("version 3", "version 2"), MPL, APACHE.replace(";\n# you may", "; you may\n#"), MIT.replace("\n", "\r\n"),
+             "Released under\n\nthe MIT License."]
+    got = {r.doc_id: r for r in license_scan.license_scan(frame(spark, texts)).collect()}
+    assert [got[i].licenses for i in range(len(texts))] == [
+        "MIT-full", "Apache-2.0-notice", "BSD", "GPL-3.0-notice", "GPL-2.0-notice", "MPL-2.0-notice", "Apache-2.0-notice", "MIT-full", ""]
+    assert got[0].sentence_ids == "M2 M3 M4" and got[1].sentence_ids == got[6].sentence_ids == "A1 A2 A3"
+
+
 def test_best_fit(spark):
     rng = random.Random(1)
     rows = [(i, f"s{rng.randrange(4)}" if i % 9 else None, rng.randrange(200) if i % 7 else None, rng.randrange(0, 260)) for i in range(800)]
