@@ -105,11 +105,13 @@ def file_tree(files: DataFrame, depth: int | None = None, dirs_only: bool = Fals
 
 
 def snapshot_diff(before: DataFrame, after: DataFrame) -> DataFrame:
-    """What changed between two snapshots (path, size, mtime): added, removed or changed."""
+    """What changed between two snapshots (path, size, mtime; by repo where they have one): added, removed or changed."""
     b, a = before.alias("b"), after.alias("a")
+    keys = [k for k in ("repo", "path") if k in before.columns]
     kind = F.when(F.col("b.path").isNull(), "added").when(F.col("a.path").isNull(), "removed").otherwise("changed")
     same = F.col("a.size").eqNullSafe(F.col("b.size")) & F.col("a.mtime").eqNullSafe(F.col("b.mtime")) & F.col("a.path").eqNullSafe(F.col("b.path"))
-    return b.join(a, F.col("a.path") == F.col("b.path"), "full_outer").filter(~same).select(F.coalesce("a.path", "b.path").alias("path"), kind.alias("change"))
+    return b.join(a, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys], "full_outer").filter(~same).select(
+        *[F.coalesce(f"a.{k}", f"b.{k}").alias(k) for k in keys], kind.alias("change"))
 
 
 def gather_receipts(files: DataFrame, patterns: tuple[str, ...] = ("*.md",), cap: int | None = None, skip_binary: bool = True) -> DataFrame:

@@ -198,12 +198,23 @@ select coalesce(a.path, b.path) as path, case when b.path is null then 'added' w
 where a.path is null or b.path is null or a.mtime is distinct from b.mtime or a.size is distinct from b.size""", "files")(lambda f: fs.snapshot_diff(
         f.filter("repo = 'repo0' and size % 11 <> 0").selectExpr("path", "size", "size % 7 as mtime"),
         f.filter("repo = 'repo0' and size % 13 <> 0").selectExpr("path", "size", "case when size % 5 = 0 then 99 else size % 7 end as mtime")))
+_add("snapshot_diff_all", """, b as (select repo, path, size, size % 7 as mtime from files where size % 11 <> 0), a as (select repo, path, size, case when size % 5 = 0 then 99 else size % 7 end as mtime from files where size % 13 <> 0)
+select coalesce(a.repo, b.repo) as repo, coalesce(a.path, b.path) as path, case when b.path is null then 'added' when a.path is null then 'removed' else 'changed' end as change from b full join a on a.repo = b.repo and a.path = b.path
+where a.path is null or b.path is null or a.mtime is distinct from b.mtime or a.size is distinct from b.size""", "files")(lambda f: fs.snapshot_diff(
+        f.filter("size % 11 <> 0").selectExpr("repo", "path", "size", "size % 7 as mtime"),
+        f.filter("size % 13 <> 0").selectExpr("repo", "path", "size", "case when size % 5 = 0 then 99 else size % 7 end as mtime")))
 GATHER = f"""g as (select repo, path, octet_length(encode(content)) as size, case when octet_length(encode(content)) > 5000 then 'over the size cap' end as skip_reason, {_LINES} as lines
   from texts where path like '%/en/%7.txt')"""
 _add("gather_receipts", f", {GATHER} select * from g", "texts")(lambda t: fs.gather_receipts(t, ("*/en/*7.txt",), 5000))
 _add("gather_over_total", f""", {GATHER}, u as (select repo, path, sum(size) over (partition by repo order by string_split(path, '/') rows unbounded preceding) as up from g where skip_reason is null)
 select repo, arg_min(path, up) as path, cast(min(up) as bigint) as bytes from u where up > 30000 group by 1""", "texts")(
     lambda t: fs.over_total(fs.gather_receipts(t, ("*/en/*7.txt",), 5000), 30000))
+GATHER_ALL = f"""g as (select repo, path, octet_length(encode(content)) as size, case when octet_length(encode(content)) > 5000 then 'over the size cap' end as skip_reason, {_LINES} as lines
+  from texts where path like '%.txt')"""
+_add("gather_receipts_all", f", {GATHER_ALL} select * from g", "texts")(lambda t: fs.gather_receipts(t, ("*.txt",), 5000))
+_add("gather_over_total_all", f""", {GATHER_ALL}, u as (select repo, path, sum(size) over (partition by repo order by string_split(path, '/') rows unbounded preceding) as up from g where skip_reason is null)
+select repo, arg_min(path, up) as path, cast(min(up) as bigint) as bytes from u where up > 30000 group by 1""", "texts")(
+    lambda t: fs.over_total(fs.gather_receipts(t, ("*.txt",), 5000), 30000))
 _add("manifest", "select repo, path, sha256(content) as sha256, octet_length(encode(content)) as size from texts", "texts")(fs.manifest)
 _add("suffixes", f"select repo, path, {EXT} as ext from files", "files")(lambda f: f.select("repo", "path", fs.suffix(F.col("path")).alias("ext")))
 
@@ -227,6 +238,10 @@ _add("trace_origin", """, v as (select repo, path, seq, sha, (length(subject) -
 w as (select *, coalesce(lag(n) over (partition by repo, path order by seq desc, sha desc), 0) as was from v)
 select repo, path, seq, sha, n, was, row_number() over (partition by repo order by seq desc, path) = 1 as origin from w where n <> was""", "file_changes")(
     lambda f: h.trace_origin(f.filter("path in ('d1/f1.md', 'd2/f2.js')").select("repo", "path", "seq", "sha", F.col("subject").alias("content")), "fix"))
+_add("trace_origin_all", """, v as (select repo, path, seq, sha, (length(subject) - length(replace(subject, 'fix', ''))) // 3 as n from file_changes),
+w as (select *, coalesce(lag(n) over (partition by repo, path order by seq desc, sha desc), 0) as was from v)
+select repo, path, seq, sha, n, was, row_number() over (partition by repo order by seq desc, path) = 1 as origin from w where n <> was""", "file_changes")(
+    lambda f: h.trace_origin(f.select("repo", "path", "seq", "sha", F.col("subject").alias("content")), "fix"))
 
 # ---- packing, outlines, dependencies
 _RUNS = "list_max(list_transform(regexp_extract_all(content, '`+'), lambda x: length(x)))"

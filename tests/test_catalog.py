@@ -39,3 +39,13 @@ def test_query_equals_its_sql(spark, duck, name):
 def test_base_tables_hold_what_queries_need(spark):
     for name in ("scan_rules", "redact", "extract_code_blocks", "pack_shards", "code_outline"):
         assert catalog.queries()[name](spark, SF).columns
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_queries_over_all_files(spark):
+    q = catalog.queries()
+    texts = spark.read.parquet(f"{SF}/documents.parquet")
+    assert q["gather_receipts_all"](spark, SF).count() == texts.count()
+    assert q["gather_over_total_all"](spark, SF).count() > q["gather_over_total"](spark, SF).count()
+    assert {r.repo for r in q["snapshot_diff_all"](spark, SF).select("repo").distinct().collect()} == {"repo0", "repo1", "repo2"}
+    assert q["trace_origin_all"](spark, SF).select("path").distinct().count() > 2
