@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.scalars import FIX_WORDS, round3 as r3, unsafe_path as s_unsafe
 from ..operators import deps, files as fs, history as h, hygiene as hy, outline, pack, profile, risk, text
-from .views import NOW, sql, view
+from .views import _PATH, NOW, sql, view
 
 #: name -> (query, SQL or None)
 _FOUND: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -181,6 +181,12 @@ select repo, path, line, regexp_extract(text, '{_MARK}', 1) as marker, substr(tr
 _add("markers_with_blame", """select b.repo, b.path, line, b.author, b.author_time from (select 'repo0' as repo, path, line, author, author_time from blame) b
 where path in (select path from files where size > 2000)""", "blame", "files")(
     lambda b, f: b.join(f.filter("size > 2000").select("path").distinct(), "path", "left_semi").select(F.lit("repo0").alias("repo"), "path", "line", "author", "author_time"))
+_BLAMED = _PATH.format(k="doc_id")
+_add("markers_left_blame", f""", l as (select repo, {_BLAMED} as path, unnest(string_split(content, chr(10))) as text, generate_subscripts(string_split(content, chr(10)), 1) as line from texts),
+b as (select path, line, min(author) as author, cast(min(author_time) as varchar) as author_time from blame group by 1, 2)
+select repo, path, line, regexp_extract(text, '{_MARK}', 1) as marker, substr(trim(regexp_extract(text, '{_MARK}', 2)), 1, 200) as text, author, author_time
+from l left join b using (path, line) where regexp_matches(text, '{_MARK}')""", "texts", "blame")(
+    lambda t, b: fs.markers(t.withColumn("path", F.expr(_BLAMED)), WORDS, b.groupBy("path", "line").agg(F.min("author").alias("author"), F.min("author_time").cast("string").alias("author_time"))))
 _add("duplicate_files", """, s as (select repo, path, octet_length(encode(content)) as size, sha256(content) as sha256 from texts where content <> '')
 select repo, sha256, size, count(*) as copies, min(path) as first_path, max(path) as last_path, (count(*) - 1) * size as reclaimable from s group by 1, 2, 3 having count(*) > 1""", "texts")(
     fs.duplicate_files)
@@ -232,7 +238,9 @@ select 'email' as rule, repo, path, substr(sha256('email:' || m), 1, 16) as fing
     lambda t: text.with_commits(text.scan_one(t, "email", MAIL), t.select(
         "repo", "path", F.col("doc_id").alias("seq"), F.col("doc_id").cast("string").alias("sha"), F.lit("").alias("author_name"), F.lit("").alias("author_date")))
     .select("rule", "repo", "path", "fingerprint", "sha"))
-_FENCED = "concat('# t\n```python title=a.py\n', substr(content, 1, 80), '\n```\n~~~\n', substr(content, 81, 40), '\n~~~\n')"
+# the two halves of the whole text
+_FENCED = ("concat('# t\n```python title=a.py\n', substr(content, 1, length(content) div 2), '\n```\n~~~\n', "
+           "substr(content, length(content) div 2 + 1), '\n~~~\n')")
 _add("extract_code_blocks", None, "texts")(lambda t: text.extract_code_blocks(t.withColumn("content", F.expr(_FENCED))))
 _add("trace_origin", """, v as (select repo, path, seq, sha, (length(subject) - length(replace(subject, 'fix', ''))) // 3 as n from file_changes where path in ('d1/f1.md', 'd2/f2.js')),
 w as (select *, coalesce(lag(n) over (partition by repo, path order by seq desc, sha desc), 0) as was from v)
@@ -251,7 +259,15 @@ _add("pack_shards", None, "texts")(lambda t: pack.shard(pack.pack_receipts(t), 2
 _add("pack_round_trip", """select repo, path, sha256(content) as sha256, true as hash_ok from texts""", "texts")(
     lambda t: pack.unpack(pack.pack(t, 200000)).select("repo", "path", F.sha2("content", 256).alias("sha256"), "hash_ok"))
 _CODE = "concat('import os\n\nclass A(B):\n    \"\"\"Doc.\"\"\"\n\n    def f', cast(doc_id as string), '(self, x: int = 1) -> int:\n        return x\n')"
-_add("code_outline", None, "texts")(lambda t: outline.code_outline(t.withColumn("path", F.regexp_replace("path", "txt$", "py")).withColumn("content", F.expr(_CODE))))
+def _docstrings(content):
+    """No table holds code: each line of a text is the docstring of a function."""
+    plain = lambda x: F.regexp_replace(F.regexp_replace(x, r"[\x00-\x1f]", " "), r"([\\\"])", r"\\$1")
+    return F.array_join(F.transform(F.split(F.coalesce(content, F.lit("")), "\n"), lambda x, i: F.concat(
+        F.lit("\ndef line"), i.cast("string"), F.lit("():\n    \""), plain(x), F.lit("\"\n"))), "")
+
+
+_add("code_outline", None, "texts")(lambda t: outline.code_outline(
+    t.withColumn("path", F.regexp_replace("path", "txt$", "py")).withColumn("content", F.concat(F.expr(_CODE), _docstrings(F.col("content"))))))
 _JSON = "concat('{\"dependencies\": {\"p', cast(doc_id % 50 as string), '\": \"', case when doc_id % 2 = 0 then '^1.2.3' else '1.2.3' end, '\"}}')"
 _add("dependency_audit", """select repo, path, 'p' || (doc_id % 50) as name, case when doc_id % 2 = 0 then null else '1.2.3' end as version, 'npm' as ecosystem, doc_id % 2 <> 0 as pinned from
   (select repo, replace(path, '.txt', '/package.json') as path, doc_id from texts)""", "texts")(

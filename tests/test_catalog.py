@@ -49,3 +49,15 @@ def test_queries_over_all_files(spark):
     assert q["gather_over_total_all"](spark, SF).count() > q["gather_over_total"](spark, SF).count()
     assert {r.repo for r in q["snapshot_diff_all"](spark, SF).select("repo").distinct().collect()} == {"repo0", "repo1", "repo2"}
     assert q["trace_origin_all"](spark, SF).select("path").distinct().count() > 2
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_queries_over_whole_texts(spark):
+    q = catalog.queries()
+    texts = [r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
+    blocks = q["extract_code_blocks"](spark, SF).select("content").collect()
+    assert sum(len(r.content) for r in blocks) >= 0.99 * sum(map(len, texts))
+    rows = q["code_outline"](spark, SF).collect()
+    assert all(r.parsed for r in rows) and sum(r.kind == "function" for r in rows) == sum(t.count("\n") + 1 for t in texts)
+    blamed = q["markers_left_blame"](spark, SF).collect()
+    assert len(blamed) == q["markers"](spark, SF).count() and {r.author is None for r in blamed} == {True, False}
