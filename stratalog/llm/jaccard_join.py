@@ -168,7 +168,8 @@ def shapes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                 late = np.isin(keys, frequent) if len(frequent) else np.zeros(len(keys), bool)
                 by = np.lexsort((keys, late, owner))
                 place = np.arange(len(keys)) - at[owner]
-                new = np.array([n[r] > 0 and (k := (sums[0][r], sums[1][r])) not in seen and not seen.add(k) for r in range(rows)], bool)
+                named = batch.column(0).slice(i, rows).is_valid().to_numpy(zero_copy_only=False)  # others have no index
+                new = np.array([n[r] > 0 and named[r] and (k := (sums[0][r], sums[1][r])) not in seen and not seen.add(k) for r in range(rows)], bool)
                 index = by[(place < index_size(n)[owner]) & new[owner[by]]]
                 m = np.where(new, index_size(n), 0)
                 ends = np.concatenate([[0], np.cumsum(m)])
@@ -368,7 +369,7 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the least doc_id, of each group of near copies."""
+    """One document, that with the least doc_id, of each group of near copies; rows without a doc_id have no group and stay."""
     groups = jaccard_join(docs)
     keep = groups.filter("component_id = doc_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
+    return docs.join(keep, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.filter("doc_id is null"))

@@ -267,6 +267,17 @@ def test_jaccard_join_without_rows(spark):
     assert jaccard_join.jaccard_join(frame(spark, [None, ""])).count() == 2
 
 
+def test_jaccard_join_with_null_ids(spark):
+    rng = random.Random(11)
+    text = prose(rng, 60)
+    rows = [(None, text), (1, text), (2, " ".join([*text.split()[:-1], "edited"])), (None, prose(rng, 40)), (None, None), (3, prose(rng, 50))]
+    docs = spark.createDataFrame([(i, t, None, None, None, None) for i, t in rows], DOCS).coalesce(1)  # the null id comes first
+    got = sorted(((r.doc_id, r.component_id) for r in jaccard_join.jaccard_join(docs).collect()), key=str)
+    assert got == sorted([(None, None)] * 3 + [(1, 1), (2, 1), (3, 3)], key=str)
+    kept = jaccard_join.stage(spark, docs, "").collect()
+    assert sorted((r.doc_id for r in kept), key=str) == [1, 3, None, None, None] and {r.text for r in kept if r.doc_id is None} == {rows[0][1], rows[3][1], None}
+
+
 def test_tree_join_finds_all():
     rng = np.random.default_rng(4)
     sets = [set(rng.choice(3000, rng.integers(1, 300), replace=False)) for _ in range(120)]
