@@ -8,7 +8,7 @@ other's lists improve.  All shards do a round at once, as one job; a round shuff
 and the vectors, not the pairs.
 
 A stated set of queries is then answered in blocks: in each shard a query walks the graph
-from ENTRIES places to the best unvisited neighbours until the BEAM best found are all
+from its own node, ENTRIES places and places in every connected part to the best unvisited neighbours until the BEAM best found are all
 expanded.  Scores are exact inner products in double precision; the shards' lists are merged.
 Nearness by largest inner product becomes a distance by an extra coordinate that gives all
 vectors one norm, so the graph suits vectors of any norms.
@@ -36,6 +36,8 @@ SHARD, BLOCK = 4096, 1024
 K, ROUNDS = 20, 5
 #: Where a search begins, how many of the best it expands, how many at a time.
 ENTRIES, BEAM, STEP = 64, 160, 12
+#: Nodes of a connected part of the graph for each further beginning there.
+PER_ENTRY = 64
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -138,6 +140,27 @@ def neighbour_graph(points: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return edges
 
 
+def _parts(near: np.ndarray) -> np.ndarray:
+    """The least node of each node's connected part, links taken both ways; ``near`` is padded with -1."""
+    a, c = np.nonzero(near >= 0)
+    b, label = near[a, c], np.arange(len(near))
+    while True:
+        last = label.copy()
+        np.minimum.at(label, a, last[b])
+        np.minimum.at(label, b, last[a])
+        label = label[label]
+        if (label == last).all():
+            return label
+
+
+def _entries(near: np.ndarray) -> np.ndarray:
+    """ENTRIES places all over the shard, and in each part of the graph one place for PER_ENTRY nodes, one at least."""
+    n, label = len(near), _parts(near)
+    order = np.argsort(label, kind="stable")
+    rank = np.arange(n) - np.searchsorted(label[order], label[order])
+    return np.union1d(np.linspace(0, n - 1, min(n, ENTRIES)).astype(int), order[rank % PER_ENTRY == 0])
+
+
 def _search(k: int):
     def run(key, graph: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         ids = np.sort(graph["rep"].to_numpy())
@@ -153,7 +176,9 @@ def _search(k: int):
             near[p, : len(m)] = np.searchsorted(ids, m)
         y = _matrix(queries["embedding"])
         ids_q, reps, scores = [], [], []
-        entries = np.unique(np.linspace(0, n - 1, min(n, ENTRIES)).astype(int))
+        entries = _entries(near)
+        asked = queries["query"].to_numpy()
+        own = np.minimum(np.searchsorted(ids, asked), n - 1)
         for b in range(0, q, 256):
             z = y[b : b + 256]
             m = len(z)
@@ -161,6 +186,8 @@ def _search(k: int):
             score = np.full((m, n), -np.inf)
             done = np.zeros((m, n), bool)
             score[:, entries] = z @ x[entries].T
+            here = np.flatnonzero(ids[own[b : b + m]] == asked[b : b + m])  # queries whose own node is in the shard
+            score[here, own[b + here]] = np.einsum("ij,ij->i", z[here], x[own[b + here]])
             beam = min(n, BEAM)
             active = np.arange(m)
             while len(active):

@@ -7,6 +7,7 @@ import re
 import string
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -387,3 +388,16 @@ def test_nearest(spark):
     few = nearest.nearest(v.filter("vec_id < 5"), F.col("vec_id") == 0, 20).collect()
     assert sorted(r.vec_id for r in few) == [1, 2, 3, 4]
     assert nearest.nearest(v.limit(0), F.col("vec_id") == 0).count() == 0
+
+
+def test_nearest_search_reaches_clusters_without_links():
+    rng = np.random.default_rng(12)
+    of = np.repeat(np.arange(100), 30)[rng.permutation(3000)]  # more clusters than entries
+    center = 10 * rng.normal(size=(100, 32))
+    x = center[of] + rng.normal(size=(3000, 32))
+    near = [np.flatnonzero(of == c) for c in of]  # every link stays inside its cluster
+    graph = pd.DataFrame({"rep": np.arange(3000), "embedding": list(x), "near": near})
+    for ids, y in ((np.arange(0, 3000, 20), x[::20]), (np.arange(5000, 5100), center)):  # in the shard, and of other shards
+        out = nearest._search(20)((0, 0), graph, pd.DataFrame({"query": ids, "embedding": list(y)}))
+        for q, v in zip(ids, y):
+            assert set(out[out["query"] == q]["rep"]) == set(np.argsort(-(x @ v), kind="stable")[:20].tolist())
