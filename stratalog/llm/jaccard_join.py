@@ -2,29 +2,33 @@
 
 A text's set of 5-word shingles is hashed into groups; the counts of the groups are its
 point.  Larger sets have more groups, by powers of two, so unrelated texts stay apart at every
-length; a point is folded in half to be compared with one of half as many groups.  For two sets, the sum of the coordinates' minima bounds the overlap from above,
-and so does the sum over the upper corners of two boxes of points.  An R-tree over the points
-therefore finds all pairs whose bound reaches what the similarity asks for, by walking it
-against itself; the surviving pairs are verified on the whole sets.
-
-A single tree over all texts prunes little but by size (counts of unrelated texts of one size
-lie close together), so leaves are formed by shingle first: of a set, only the part that must
-hold a common member of any similar set is indexed (a fifth of it, the shingles that a bounded
-sample found frequent last), and each indexed shingle has a tree of its own.
+length; a point is folded in half to be compared with one of half as many groups.  For two
+sets, the sum of the coordinates' minima bounds the overlap from above, and so does the sum
+over the upper corners of two boxes of points.  An R-tree over the points, walked against
+itself from its root, therefore finds all pairs whose bound reaches what the similarity asks
+for; the surviving pairs are verified on the whole sets.
+
+One tree over all texts prunes little but by size (counts of unrelated texts of one size lie
+close together in many dimensions, so boxes of them overlap; README has figures) and would
+compare a share of all pairs.  So the subtrees of the top level are formed by shingle: of a
+set, only the part that must hold a common member of any similar set is indexed (a fifth of
+it, the shingles that a bounded sample found frequent last), and each indexed shingle has a
+tree of its own.
 
 * A tree yields no pairs, but a spanning forest of its bound graph: texts that are joined
   already need no more pairs.  What it emits grows with its members, not with their square.
 * The components of these forests are families; two similar texts share one.  A family is
   verified exactly, where it lies, again up to a spanning forest, and its components are
   the answer.
-* Trees of more than TREE members and families of more than FAMILY are dealt out as pairs of
-  blocks, each a task of its own; no pair is left out.
+* Trees of more than TREE members and families of more than FAMILY are dealt out in blocks
+  (``spanning``); no pair is left out.
 * Copies (equal sets) take part once, by a 128-bit sum of their shingles.
 
 Defined results: texts without words, and null texts, have an empty set and link with
-nothing; a text with fewer than 5 words has one shingle, of all of them; repeated rows (equal
-doc_id too) give one result each; a null doc_id gets no component; an empty table gives an
-empty result; columns besides doc_id and text are ignored.
+nothing; a text with fewer than 5 words has one shingle, of all of them; a text of any length
+is compared whole; repeated rows (equal doc_id too) give one result each; a null doc_id gets
+no component and hides no copies of its text; similarity at the limit links; an empty table
+gives an empty result; columns besides doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -45,6 +49,8 @@ GROUPS, PER_GROUP = 32, 4
 LEAF, TREE, FAMILY = 16, 4096, 1024
 #: Texts that frequent shingles are learnt from, about, and the texts that hold a frequent one.
 SAMPLE, FREQUENT = 6000, 4
+#: Parts that the copies of one set are dealt to.
+SALTS = 32
 
 
 def least_overlap(a, b):
@@ -89,51 +95,92 @@ def tree_join(size: np.ndarray, points: list[np.ndarray], side: np.ndarray | Non
     """
     width = np.array([len(p) for p in points])
     edges = []
+    if side is not None and (side == side[0]).all():
+        return edges
     for g in np.unique(width):
         # the sets of this width, and those of the next that are within reach of them
         near = (width == g) | ((width == 2 * g) & (size * PERCENT <= size[width == g].max() * 100))
         pick = np.flatnonzero(near)
         if len(pick) > 1:
-            found = one_tree(size[pick], np.stack([fold(points[k], g) for k in pick]), side[pick] if side is not None else None)
-            edges += [(int(pick[a]), int(pick[b])) for a, b in found]
+            tree = Tree(size[pick], np.stack([fold(points[k], g) for k in pick]))
+            edges += [(int(pick[a]), int(pick[b])) for a, b in tree.joined(side[pick] if side is not None else None)]
     return edges
 
 
-def one_tree(size: np.ndarray, point: np.ndarray, side: np.ndarray | None) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs whose bound reaches the least overlap, points of one width."""
-    n = len(size)
-    order = np.lexsort((point[:, 1 % point.shape[1]], point[:, 0], size))
-    size, point = size[order].astype(np.int64), point[order].astype(np.int64)
-    side = side[order] if side is not None else None
-    leaf = np.arange(0, n, LEAF)
-    low, high = np.minimum.reduceat(size, leaf), np.maximum.reduceat(size, leaf)
-    top = np.maximum.reduceat(point, leaf, axis=0)  # upper corners of the leaves
-    forest = Forest(n)
-    root = np.arange(n)
-    for i in range(len(leaf)):
-        # leaves of larger texts, while sizes are within reach, whose corners' minima suffice
-        last = int(np.searchsorted(low, high[i] * 100 // PERCENT, "right"))
-        j = np.arange(i, last)
-        bound = np.minimum(top[i], top[i:last]).sum(axis=1)
-        j = j[bound >= least_overlap(low[i], low[i:last])]
-        a0, a1 = leaf[i], min(n, leaf[i] + LEAF)
-        for k in j:
-            b0, b1 = leaf[k], min(n, leaf[k] + LEAF)
+class Tree:
+    """An R-tree over points of one width, bulk-loaded in order of size and counts.
+
+    ``levels`` go from the points to the root.  A level has for each node its least and largest
+    size and the lower and upper corner of its box; node k's children are the LEAF nodes of the
+    level below that begin with k * LEAF.
+    """
+
+    def __init__(self, size: np.ndarray, point: np.ndarray):
+        self.order = np.lexsort((point[:, 1 % point.shape[1]], point[:, 0], size))
+        size, point = size[self.order].astype(np.int64), point[self.order].astype(np.int64)
+        self.levels = [(size, size, point, point)]
+        while len(self.levels[-1][0]) > 1:
+            low, high, bottom, top = self.levels[-1]
+            at = np.arange(0, len(low), LEAF)
+            self.levels.append((np.minimum.reduceat(low, at), np.maximum.reduceat(high, at),
+                                np.minimum.reduceat(bottom, at, axis=0), np.maximum.reduceat(top, at, axis=0)))
+        self.tested = 0
+
+    def within(self, level: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which pairs of a level's nodes can hold a pair whose overlap is large enough."""
+        low, high, bottom, top = self.levels[level]
+        ok = (low[a] * PERCENT <= high[b] * 100) & (low[b] * PERCENT <= high[a] * 100)
+        near = np.flatnonzero(ok)
+        self.tested += len(near)
+        step = max(1, 4_000_000 // top.shape[1])
+        for k in range(0, len(near), step):
+            n = near[k : k + step]
+            x, y = a[n], b[n]
+            bound = np.minimum(top[x], top[y]).sum(axis=1)
+            if level:  # what one box has beyond the other's upper corner can't be shared either
+                bound = np.minimum(bound, high[x] - np.maximum(bottom[x] - top[y], 0).sum(axis=1))
+                bound = np.minimum(bound, high[y] - np.maximum(bottom[y] - top[x], 0).sum(axis=1))
+            ok[n] = bound >= least_overlap(low[x], low[y])
+        return ok
+
+    def leaves(self) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of leaves that the walk of the tree against itself comes to."""
+        a = b = np.zeros(1, np.int64)
+        for level in range(len(self.levels) - 2, 0, -1):
+            n = len(self.levels[level][0])
+            i, j = np.divmod(np.arange(LEAF * LEAF), LEAF)
+            a, b = (a[:, None] * LEAF + i).ravel(), (b[:, None] * LEAF + j).ravel()
+            real = (a <= b) & (b < n)
+            a, b = a[real], b[real]
+            ok = self.within(level, a, b)
+            a, b = a[ok], b[ok]
+        return a, b
+
+    def joined(self, side: np.ndarray | None) -> list[tuple[int, int]]:
+        """A spanning forest of the pairs of points whose bound reaches the least overlap."""
+        size, _, _, point = self.levels[0]
+        n = len(size)
+        side = side[self.order] if side is not None else None
+        forest, root = Forest(n), np.arange(n)
+        for x, y in zip(*self.leaves()):
+            a0, b0 = x * LEAF, y * LEAF
+            a1, b1 = min(n, a0 + LEAF), min(n, b0 + LEAF)
             if (root[a0:a1] == root[a0]).all() and (root[b0:b1] == root[a0]).all():
                 continue  # all joined already
             bound = np.minimum(point[a0:a1, None], point[None, b0:b1]).sum(axis=2)
+            self.tested += bound.size
             ok = bound >= least_overlap(size[a0:a1, None], size[None, b0:b1])
             ok &= root[a0:a1, None] != root[None, b0:b1]
             if side is not None:
                 ok &= side[a0:a1, None] != side[None, b0:b1]
-            if i == k:
+            if x == y:
                 ok = np.triu(ok, 1)
             found = np.argwhere(ok)
             if len(found):
-                for x, y in found:
-                    forest.join(a0 + int(x), b0 + int(y))
+                for i, j in found:
+                    forest.join(int(a0 + i), int(b0 + j))
                 root = _refresh(forest, root, found, a0, b0)
-    return [(int(order[a]), int(order[b])) for a, b in forest.edges]
+        return [(int(self.order[a]), int(self.order[b])) for a, b in forest.edges]
 
 
 def _refresh(forest: Forest, root: np.ndarray, found: np.ndarray, a0: int, b0: int) -> np.ndarray:
@@ -207,12 +254,44 @@ def frequent_shingles(docs: DataFrame, sample: int = SAMPLE, least: int = FREQUE
     return np.sort(got.column("k").to_numpy().view(np.uint64))
 
 
-def _blocks(rows: DataFrame, key: str, count: str, most: int) -> DataFrame:
-    """Each row once for each pair of blocks of its group that it takes part in; adds i, j and block."""
-    parts = F.ceil(F.col(count) / most).cast("int")
-    own = F.pmod(F.xxhash64("rep"), parts).cast("int")
-    return (rows.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-            .withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", count))
+def spanning(rows: DataFrame, key: str, most: int, largest: int, run, order: list[str]) -> DataFrame:
+    """a, b: a spanning forest of a relation in each group of ``rows`` (key, rep, members and what ``run`` needs).
+
+    ``run`` gets rows that come ordered by key, i and j.  A group of more than ``most`` members is
+    dealt out in blocks.  First each block works alone.  What it joins is one part from then on,
+    and of each part one member meets those of other parts.  Parts that are still apart are
+    compared whole, block by block; so rows are copied to other blocks only in groups that are no
+    family at all, or of more than one.
+    """
+    def edges(dealt: DataFrame) -> DataFrame:
+        ordered = dealt.drop("members").repartition(key, "i", "j").sortWithinPartitions(key, "i", "j", *order)
+        return saved(ordered.mapInArrow(run, "a long, b long").distinct())
+
+    parts = F.ceil(F.col("members") / most).cast("int")
+    block = F.pmod(F.xxhash64("rep"), parts).cast("int")
+    found = edges(rows.withColumn("i", block).withColumn("j", F.col("i")).withColumn("side", F.lit(0).cast("long")))
+    if largest <= most:
+        return found
+
+    def labelled() -> DataFrame:
+        label = components(found).select(F.col("id").alias("rep"), "component")
+        return big.join(label, "rep", "left").withColumn("side", F.coalesce("component", "rep")).drop("component")
+
+    def crossed(df: DataFrame, least: int) -> DataFrame:
+        """Each row once for each pair of blocks, ``least`` apart or more, that it takes part in."""
+        both = df.withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+        both = both.filter(F.abs(F.col("own") - F.col("other")) >= least)
+        return both.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("own", "other")
+
+    big = rows.filter(F.col("members") > most)
+    now = labelled()
+    heads = now.groupBy(key, "side").agg(F.min("rep").alias("rep"))
+    heads = heads.join(heads.groupBy(key).agg(F.count("*").alias("members")).filter("members > 1"), key)
+    met = edges(crossed(now.drop("members").join(heads, [key, "side", "rep"]), 0))
+    found = saved(found.union(met))
+    now = labelled()
+    apart = now.groupBy(key).agg(F.min("side").alias("x"), F.max("side").alias("y")).filter("x <> y").select(key)
+    return found.union(edges(crossed(now.join(apart, key, "left_semi"), 1))).distinct()
 
 
 def _groups(batches, names):
@@ -244,7 +323,7 @@ def _forests(batches):
     """Edges of the bound graph's spanning forest of each tree."""
     for t, cuts in _groups(batches, ["shingle", "i", "j"]):
         rep, n, point = t.column("rep").to_numpy(), t.column("n").to_numpy(), _points(t.column("point"))
-        block, cross = t.column("block").to_numpy(), t.column("i").to_numpy() != t.column("j").to_numpy()
+        side, cross = t.column("side").to_numpy(), t.column("i").to_numpy() != t.column("j").to_numpy()
         size = np.diff(cuts)
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for s in cuts[:-1][size == 2]:  # most trees have two members
@@ -253,7 +332,7 @@ def _forests(batches):
                 a.append(rep[s : s + 1])
                 b.append(rep[s + 1 : s + 2])
         for s, e in zip(cuts[:-1][size > 2], cuts[1:][size > 2]):
-            if edges := tree_join(n[s:e], point[s:e], block[s:e] if cross[s] else None):
+            if edges := tree_join(n[s:e], point[s:e], side[s:e] if cross[s] else None):
                 x = np.array(edges) + s
                 a.append(rep[x[:, 0]])
                 b.append(rep[x[:, 1]])
@@ -268,6 +347,8 @@ def verified(sizes: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None)
     n = len(sets)
     order = np.argsort(sizes, kind="stable")
     forest = Forest(n)
+    if side is not None and (side == side[0]).all():
+        return []
     held = np.unique(np.concatenate(sets), return_inverse=True)[1] if n else np.zeros(0, int)
     ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
     ids = [held[ends[k] : ends[k + 1]] for k in range(n)]
@@ -312,7 +393,7 @@ def _links(batches):
     """Edges of a spanning forest of each family's similar pairs."""
     for t, cuts in _groups(batches, ["family", "i", "j"]):
         rep, text = t.column("rep").to_numpy(), t.column("text").combine_chunks()
-        block, cross = t.column("block").to_numpy(), t.column("i").to_numpy() != t.column("j").to_numpy()
+        side, cross = t.column("side").to_numpy(), t.column("i").to_numpy() != t.column("j").to_numpy()
         sets: list[np.ndarray] = []
         for i, j, w in chunks(text):
             owner, keys = distinct(*shingles(w))
@@ -321,20 +402,31 @@ def _links(batches):
         size = np.array([len(s) for s in sets])
         a, b = [], []
         for s, e in zip(cuts[:-1], cuts[1:]):
-            for x, y in verified(size[s:e], sets[s:e], block[s:e] if cross[s] else None):
+            for x, y in verified(size[s:e], sets[s:e], side[s:e] if cross[s] else None):
                 a.append(rep[s + x])
                 b.append(rep[s + y])
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
+def representatives(shape: DataFrame) -> DataFrame:
+    """doc_id, n, rep: the least doc_id with an equal set (k1, k2, n), null for empty sets and null ids.
+
+    A set that a third of all rows have is spread over SALTS, both where it is counted and where
+    the representative is joined back.
+    """
+    salted = shape.select("doc_id", "n", "k1", "k2", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"))
+    part = salted.filter("n > 0 and doc_id is not null").groupBy("k1", "k2", "n", "salt").agg(F.min("doc_id").alias("least"))
+    whole = part.groupBy("k1", "k2", "n").agg(F.min("least").alias("rep"))
+    named = part.drop("least").join(whole, ["k1", "k2", "n"])
+    return salted.join(named, ["k1", "k2", "n", "salt"], "left").select("doc_id", "n", "rep")
+
+
 def jaccard_join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs``; doc_id is a whole number."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     full = shapes(docs, frequent_shingles(docs))
     shape = saved(full.drop("index"))
-    filled = shape.filter("n > 0 and doc_id is not null")
-    copies = filled.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"))
-    rep_of = saved(shape.select("doc_id", "n", "k1", "k2").join(copies, ["k1", "k2", "n"], "left").select("doc_id", "n", "rep"))
+    rep_of = saved(representatives(shape))
 
     # indexed shingles that two texts hold, and which; computed twice rather than kept
     index = full.filter("doc_id is not null").select("doc_id", F.explode("index").alias("shingle"))
@@ -342,34 +434,50 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     held = saved(index.join(common, "shingle"))
     # of shingles that the same texts hold, one is enough
     name = [F.sum(F.xxhash64("doc_id").cast("decimal(20,0)")).alias("x"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("y")]
-    one = (held.groupBy("shingle").agg(F.count("*").alias("members"), *name)
-           .groupBy("x", "y", "members").agg(F.min("shingle").alias("shingle")).select("shingle", "members"))
+    one = saved(held.groupBy("shingle").agg(F.count("*").alias("members"), *name)
+                .groupBy("x", "y", "members").agg(F.min("shingle").alias("shingle")).select("shingle", "members"))
     member = (held.join(one, "shingle").join(rep_of.filter("rep is not null").distinct(), "doc_id")
               .groupBy("shingle", "rep", "n").agg(F.max("members").alias("members")))
-    points = filled.select("doc_id", "point").join(copies.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    points = (shape.filter("n > 0").select("doc_id", "point").join(rep_of.filter("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi")
+              .dropDuplicates(["doc_id"]))
     rows = member.join(points.withColumnRenamed("doc_id", "rep"), "rep")
-    trees = _blocks(rows, "shingle", "members", TREE)
-    ordered = trees.repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j", "n", "rep")
-    bound = saved(ordered.select("shingle", "i", "j", "block", "rep", "n", "point").mapInArrow(_forests, "a long, b long").distinct())
+    bound = spanning(rows, "shingle", TREE, _largest(one), _forests, ["n", "rep"])
 
-    family = components(bound).select(F.col("id").alias("rep"), F.col("component").alias("family"))
-    family = saved(family.join(family.groupBy("family").agg(F.count("*").alias("members")), "family"))
-    near = narrowed(docs, family.select(F.col("rep").alias("doc_id")))
-    texts = near.join(family, near["doc_id"] == family["rep"]).dropDuplicates(["rep"])
-    dealt = _blocks(texts.select("family", "members", "rep", F.col("text").cast("string").alias("text")), "family", "members", FAMILY)
-    ordered = dealt.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "rep")
-    links = ordered.select("family", "i", "j", "block", "rep", "text").mapInArrow(_links, "a long, b long").distinct()
+    family = families(bound)
+    texts = members_of(docs, family)
+    links = spanning(texts, "family", FAMILY, _largest(family), _links, ["rep"])
     linked = components(links).select(F.col("id").alias("rep"), "component")
     return (rep_of.join(linked, "rep", "left")
             .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id")))
 
 
+def _largest(groups: DataFrame) -> int:
+    return groups.agg(F.max("members")).head()[0] or 0
+
+
+def families(bound: DataFrame) -> DataFrame:
+    """rep, family, members: the components of the edges a, b; saved."""
+    family = saved(components(bound).select(F.col("id").alias("rep"), F.col("component").alias("family")))
+    return saved(family.join(family.groupBy("family").agg(F.count("*").alias("members")), "family"))
+
+
+def members_of(docs: DataFrame, family: DataFrame) -> DataFrame:
+    """family, members, rep and text."""
+    near = narrowed(docs, family.select(F.col("rep").alias("doc_id")))
+    texts = near.join(family, near["doc_id"] == family["rep"]).dropDuplicates(["rep"])
+    return texts.select("family", "members", "rep", F.col("text").cast("string").alias("text"))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the least doc_id, of each group of near copies; rows without a doc_id have no group and stay."""
+    """One document, that with the least doc_id, of each group of near copies.
+
+    Rows without a doc_id have no group and stay; repeated rows of the one that stays all stay;
+    null and empty texts stay; an empty table stays empty; all columns are kept as they are.
+    """
     groups = jaccard_join(docs)
     keep = groups.filter("component_id = doc_id").select("doc_id").distinct()
     return docs.join(keep, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.filter("doc_id is null"))
