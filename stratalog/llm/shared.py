@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Share of labelled rows held out: crc32(doc_id as text) mod HOLD_OUT = 0.
@@ -31,8 +32,27 @@ def saved(df: DataFrame) -> DataFrame:
 
 
 def held_out(doc_id) -> F.Column:
-    """True for the rows whose labels may not be learnt from."""
-    return F.crc32(doc_id.cast("string")) % HOLD_OUT == 0
+    """True for the rows whose labels may not be learnt from; false for a null doc_id, which no label names."""
+    return F.coalesce(F.crc32(doc_id.cast("string")) % HOLD_OUT == 0, F.lit(False))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def rows_where(docs: DataFrame, good) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text (the Arrow column) passes ``good``, which gives a mask."""
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(good(batch.column(at).cast(pa.string())), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 #: Values of the truncated hash that ``narrowed`` broadcasts, at most.

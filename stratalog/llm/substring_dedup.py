@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .graph import components
 from .hashing import WIDTH, Words, chunks, mix, words
-from .jaccard_join import FAMILY, _blocks, _links
-from .shared import narrowed, saved, table
+from .jaccard_join import FAMILY, SALTS, _largest, _links, families, spanning
+from .shared import narrowed, saved, table, unused
 
 LINE, BANDS, ROWS = 30, 6, 3
 WINDOW, REACH = 16, 12
@@ -197,19 +197,16 @@ def repeats(docs: DataFrame) -> DataFrame:
     gone = hits.filter(F.col("place") != BAND).select(F.col("id").alias("doc_id"), "place", F.col("head").alias("kept_doc"))
 
     # different lines: those that collide, directly or over others, are a family, and all its pairs are verified
-    family = components(hits.filter(F.col("place") == BAND).select(F.col("id").alias("a"), F.col("head").alias("b"))).select(
-        F.col("id").alias("exact"), F.col("component").alias("family"))
-    family = saved(family.join(family.groupBy("family").agg(F.count("*").alias("members")), "family"))
-    known = saved(occurrences(docs).join(family.select("exact"), "exact").distinct())
+    family = families(hits.filter(F.col("place") == BAND).select(F.col("id").alias("a"), F.col("head").alias("b")))
+    known = saved(occurrences(docs).join(family.select(F.col("rep").alias("exact")), "exact").distinct())
     one = known.groupBy(F.col("exact").alias("rep")).agg(F.min(F.struct("doc_id", "place")).alias("p")).select("rep", "p.doc_id", "p.place")
-    texts = _line_texts(docs, one).dropDuplicates(["rep"]).join(family.withColumnRenamed("exact", "rep"), "rep")
-    dealt = _blocks(texts.select("family", "members", "rep", "text"), "family", "members", FAMILY)
-    ordered = dealt.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "rep")
-    links = ordered.select("family", "i", "j", "block", "rep", "text").mapInArrow(_links, "a long, b long").distinct()
+    texts = _line_texts(docs, one).dropDuplicates(["rep"]).join(family, "rep")
+    links = spanning(texts, "family", FAMILY, _largest(family), _links, ["rep"])
     joined = components(links).select(F.col("id").alias("exact"), "component")
-    member = known.join(joined, "exact").select("component", "doc_id", "place")
-    keeper = member.groupBy("component").agg(F.min("doc_id").alias("kept_doc"))
-    gone = gone.unionByName(member.join(keeper, "component").filter("doc_id <> kept_doc").select("doc_id", "place", "kept_doc"))
+    member = known.join(joined, "exact").select("component", "doc_id", "place", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"))
+    # the keeper of a large component meets its members in SALTS parts
+    keeper = member.groupBy("component").agg(F.min("doc_id").alias("kept_doc")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    gone = gone.unionByName(member.join(keeper, ["component", "salt"]).filter("doc_id <> kept_doc").select("doc_id", "place", "kept_doc"))
     gone = gone.select("doc_id", F.expr(FIRST).alias("first"), F.expr(LAST).alias("last"), "kept_doc")
 
     order = Window.partitionBy("doc_id").orderBy("first", "last")
@@ -224,21 +221,21 @@ def repeats(docs: DataFrame) -> DataFrame:
 
 def cut(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """``docs`` with the words of the spans, and the space after them, taken out of ``text``."""
-    by_doc = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("spans_"))
-    names = docs.columns
+    names, own = docs.columns, unused(docs, "spans")
+    by_doc = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias(own))
     at = names.index("text")
 
     def run(batches):
         for batch in batches:
-            texts, spans_ = batch.column(at), batch.column(len(names))
+            texts, cuts = batch.column(at), batch.column(len(names))
             out = []
             for r in range(batch.num_rows):
                 text = texts[r].as_py()
-                if text is not None and spans_[r].is_valid:
+                if text is not None and cuts[r].is_valid:
                     raw = text.encode()
                     w = words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
                     parts, last = [], 0
-                    for s in spans_[r].as_py():
+                    for s in cuts[r].as_py():
                         b = int(w.start[s["last"]]) if s["last"] < len(w.start) else len(raw)
                         parts.append(raw[last : int(w.start[s["first"]])])
                         last = b
@@ -246,7 +243,7 @@ def cut(docs: DataFrame, spans: DataFrame) -> DataFrame:
                 out.append(text)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if k == at else batch.column(k) for k in range(len(names))], names)
 
-    return docs.join(by_doc, "doc_id", "left").select(*names, "spans_").mapInArrow(run, docs.schema)
+    return docs.join(by_doc, "doc_id", "left").select(*names, own).mapInArrow(run, docs.schema)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
