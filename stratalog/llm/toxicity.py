@@ -1,7 +1,8 @@
 """Toxicity by a weighted lexicon, matched by Aho-Corasick on folded text.
 
-Text is folded first: lower case, look-alike letters of other scripts and digits written for
-letters become letters, everything else a space.  One automaton finds all terms: whole words
+Text is folded first: lower case, compatibility forms and accents fall away, look-alike
+letters of other scripts and digits written for letters become letters, everything else a
+space.  One automaton finds all terms: whole words
 (" term ") and word beginnings (" term").  A match inside an exception phrase does not count.
 The weights of the matches, normalised by the text's length, give the score.
 
@@ -11,22 +12,27 @@ up in the executors; only terms that pass the thresholds reach the driver.  Ever
 scored, whole, where it lies: scoring shuffles nothing.
 
 Defined results: a null or empty text matches nothing and gets the score of no match;
-without rows of both labels every score is the smoothed share of label 1; repeated rows get
-equal scores; an empty table gives an empty result; columns besides doc_id and text are
-ignored.
+a text of any length is scored whole; without rows of both labels every score is the smoothed
+share of label 1; repeated rows get equal scores; a null doc_id is scored, is not held out and is
+never learnt from; there are no ties, as every row is scored alone; an empty table gives an empty
+result; columns besides doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import DoubleType, StructType
 
-from .shared import held_out, saved, table
+from .shared import held_out, rows_where, saved, table
 
 #: Labelled rows that are learnt from, at most, of each label; those with the least hash of doc_id.
 TOXIC, CLEAN = 3000, 6000
@@ -37,8 +43,9 @@ SHARE, PURITY = 0.004, 0.5
 PRIOR = 2
 #: Letters of a word beginning that can be a term.
 PREFIX = (4, 5, 6, 7)
-#: Terms at most, by weight.
-TERMS = 4000
+#: A phrase is an exception if so many texts hold it, none of them toxic, and this share of the
+#: texts of label 0 that hold its term.
+PHRASE, PHRASE_SHARE = 5, 0.2
 #: A text is toxic from this score on.
 LIMIT = 0.5
 
@@ -57,18 +64,15 @@ class _Fold(dict):
     """What str.translate puts for each character; filled as characters occur."""
 
     def __missing__(self, code: int):
-        ch = chr(code).lower()
-        if 0xFF01 <= code <= 0xFF5E:  # full-width forms of ASCII
-            ch = chr(code - 0xFEE0).lower()
-        ch = DIGITS.get(ch, LOOKALIKES.get(ch, ch))
         if code in (0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF):  # invisible
-            got = ""
-        elif ch.isalpha() or 0x300 <= code < 0x370:
-            got = ch
-        else:
-            got = " "
-        self[code] = got
-        return got
+            self[code] = ""
+            return ""
+        # compatibility forms (full width, mathematical letters, ligatures) and accents fall away
+        plain = unicodedata.normalize("NFKD", chr(code)).lower()
+        plain = "".join(c for c in plain if not 0x300 <= ord(c) < 0x370)
+        got = "".join(c if c.isalpha() else " " for c in (DIGITS.get(c, LOOKALIKES.get(c, c)) for c in plain))
+        self[code] = got if plain or 0x300 <= code < 0x370 else " "
+        return self[code]
 
 
 _fold = _Fold()
@@ -113,13 +117,14 @@ class Lexicon:
             return 0.0, 0.0
         hits, holes = [], []
         for end, (size, weight) in self.automaton().iter(folded):
-            if weight is None:
-                holes.append((end - size + 1, end))
-            else:
-                hits.append((end - size + 1, end, weight))
+            (holes if weight is None else hits).append((end - size + 1, end, weight))
         if not hits:
             return 0.0, 0.0
-        total = sum(w for a, b, w in hits if not any(x <= a and b <= y for x, y in holes))
+        if holes:  # a match is inside a hole if one that begins no later ends no earlier
+            holes.sort()
+            starts, ends = [h[0] for h in holes], list(accumulate((h[1] for h in holes), max))
+            hits = [h for h in hits if not (k := bisect_right(starts, h[0])) or ends[k - 1] < h[1]]
+        total = sum(w for _, _, w in hits)
         return np.log1p(total), total / max(1, folded.count(" ") - 1) ** 0.5
 
     def score(self, text: str) -> float:
@@ -129,6 +134,9 @@ class Lexicon:
         a, b, c = self.coef
         return float(1 / (1 + np.exp(-np.clip(a + b * x + c * y, -30, 30))))
 
+    def scores(self, texts: pa.Array) -> list[float]:
+        return [self.score(texts[k].as_py() or "") for k in range(len(texts))]
+
 
 def _terms(text: str) -> set[str]:
     own = set()
@@ -172,7 +180,8 @@ def learn(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = C
         F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("q"))
     weight = F.log((F.col("p") + PRIOR) / (n[1] + 2 * PRIOR)) - F.log((F.col("q") + PRIOR) / (n[0] + 2 * PRIOR))
     best = (counts.filter((F.col("p") >= max(5, SHARE * n[1])) & (F.col("p") >= PURITY * (F.col("p") + F.col("q"))))
-            .select("term", "p", weight.alias("w")).filter("w > 1").orderBy(F.desc("w"), "term").limit(TERMS).collect())
+            .select("term", "p", "q", weight.alias("w")).filter("w > 1").orderBy("term").collect())  # each is in a share of the sample: few
+    q = {r["term"]: r["q"] for r in best}
     p, w = {r["term"]: r["p"] for r in best}, {r["term"]: r["w"] for r in best}
     kept = {}
     for t in sorted(p, key=lambda t: (len(t.strip()), t.endswith(" "), t)):
@@ -187,18 +196,19 @@ def learn(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = C
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words, phrases = fold(text).split(), set()
                 for i, x in enumerate(words):
-                    if f" {x} " in kept or any(f" {x[:k]}" in kept for k in PREFIX):
-                        phrases.update(" ".join(words[a:b]) for a, b in ((i - 1, i + 1), (i, i + 2)) if a >= 0 and b <= len(words))
+                    for t in [t for t in (f" {x} ", *(f" {x[:k]}" for k in PREFIX)) if t in kept]:
+                        phrases.update((t, " ".join(words[a:b])) for a, b in ((i - 1, i + 1), (i, i + 2)) if a >= 0 and b <= len(words))
                 got[label].update(phrases)
             for k in (0, 1):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(got[k]), pa.string()), pa.array([k] * len(got[k]), pa.int32()), pa.array(list(got[k].values()), pa.int64())],
-                    ["phrase", "toxic", "n"])
+                    [pa.array([t for t, _ in got[k]], pa.string()), pa.array([x for _, x in got[k]], pa.string()),
+                     pa.array([k] * len(got[k]), pa.int32()), pa.array(list(got[k].values()), pa.int64())],
+                    ["term", "phrase", "toxic", "n"])
 
-    phrases = (sample.mapInArrow(contexts, "phrase string, toxic int, n long").groupBy("phrase")
+    phrases = (sample.mapInArrow(contexts, "term string, phrase string, toxic int, n long").groupBy("term", "phrase")
                .agg(F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("clean"), F.sum("n").alias("n"))
-               .filter("clean >= 2 and clean = n").orderBy(F.desc("clean"), "phrase").limit(TERMS).collect())
-    lexicon.exceptions = tuple(r["phrase"] for r in phrases)
+               .filter((F.col("clean") >= PHRASE) & (F.col("clean") == F.col("n"))).collect())
+    lexicon.exceptions = tuple(sorted({r["phrase"] for r in phrases if r["clean"] >= PHRASE_SHARE * q[r["term"]]}))
 
     def draw(batches):
         for batch in batches:
@@ -206,7 +216,8 @@ def learn(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = C
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x for x, _ in f], pa.float64()), pa.array([y for _, y in f], pa.float64()), batch.column(1)], ["x", "y", "toxic"])
 
-    got = sample.mapInArrow(draw, "x double, y double, toxic int").orderBy("x", "y", "toxic").toArrow()
+    # the bounded sample's features; sorted, so that the sums don't depend on the order of tasks
+    got = sample.mapInArrow(draw, "x double, y double, toxic int").toArrow().sort_by([("x", "ascending"), ("y", "ascending"), ("toxic", "ascending")])
     x = np.stack([np.ones(got.num_rows), got.column("x").to_numpy(), got.column("y").to_numpy()], axis=1)
     lexicon.coef = tuple(_logistic(x, got.column("toxic").to_numpy().astype(float)))
     return lexicon
@@ -222,19 +233,15 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
     return c
 
 
-def toxicity(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """All columns of ``docs`` and the score (0 to 1) of its text."""
-    names = [c for c in docs.columns if c not in ("score", "text")]
+def toxicity(docs: DataFrame, lexicon: Lexicon, into: str = "score") -> DataFrame:
+    """All columns of ``docs`` but text, and the score (0 to 1) of its text, which replaces a column of that name."""
+    names = [c for c in docs.columns if c not in (into, "text")]
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(0)
-            scores = [lexicon.score(texts[i].as_py() or "") for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores, pa.float64())], [*names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(lexicon.scores(batch.column(0)), pa.float64())], [*names, into])
 
-    from pyspark.sql.types import DoubleType, StructType
-
-    schema = StructType([docs.schema[c] for c in names]).add("score", DoubleType())
+    schema = StructType([docs.schema[c] for c in names]).add(into, DoubleType())
     return docs.select(F.col("text").cast("string").alias("text"), *names).mapInArrow(run, schema)
 
 
@@ -246,8 +253,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not toxic."""
+    """Documents that are not toxic, with all their columns.
+
+    A null or empty text matches nothing and stays; each repeated row is judged alike; an empty
+    table stays empty; columns of any other name are kept as they are.
+    """
     lexicon = learn(docs, table(spark, sf_dir, "labels"))
-    texts = docs.select(*docs.columns, F.col("text").alias("kept_text"))
-    return (toxicity(texts, lexicon).filter(F.col("score") < LIMIT)
-            .select(*[F.col("kept_text").alias(c) if c == "text" else c for c in docs.columns]))
+    return rows_where(docs, lambda texts: np.array(lexicon.scores(texts)) < LIMIT)
