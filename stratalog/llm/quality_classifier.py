@@ -8,10 +8,12 @@ sum_f ((sum_i v_if x_i)**2 - sum_i (v_if x_i)**2).
 The machine is fitted on a bounded sample of labelled rows (SAMPLE), gathered as features,
 not as texts; every row is scored, whole, where it lies: scoring shuffles nothing.
 
-Defined results: a null or empty text has no words and gets the score of its statistics;
-without labelled rows, or with one label only, every score is the smoothed share of label 1;
-repeated rows get equal scores; an empty table gives an empty result; labels without a
-value or document are not used; columns besides doc_id and text are ignored.
+Defined results: a null or empty text has no words and gets the score of its statistics; a
+text of any length is scored whole; without labelled rows, or with one label only, every score
+is the smoothed share of label 1; repeated rows get equal scores, and a label whose document is
+repeated counts once; a null doc_id is scored, is not held out and is never learnt from; there
+are no ties, as every row is scored alone; an empty table gives an empty result; labels without
+a value or document are not used; columns besides doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -21,11 +23,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import DoubleType, StructType
 
 from .hashing import Words, chunks, distinct, shingles
-from .shared import held_out, table
+from .shared import held_out, rows_where, table
 
-#: Labelled rows that the machine is fitted on, at most; those with the least hash of doc_id.
+#: Distinct labelled documents that the machine is fitted on, at most; those with the least hash of doc_id.
 SAMPLE = 6000
 #: Inputs that words are hashed to, and the rank of the interactions.
 BUCKETS, RANK = 1 << 13, 6
@@ -153,7 +156,7 @@ def fit(rows: list[tuple], labels: np.ndarray) -> Machine:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     """Fits on the labelled rows that are not held out; labels: doc_id, quality."""
     chosen = (labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-              .select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample))
+              .select("doc_id", F.col("quality").cast("int").alias("quality")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample))
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``sample`` rows
 
     def run(batches):
@@ -170,28 +173,32 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
                 ], ["doc_id", "quality", "i", "v", "s"])
 
     key = docs.schema["doc_id"].dataType.simpleString()
-    got = (found.select("doc_id", F.col("text").cast("string"), F.col("quality").cast("int").alias("quality"))
-           .mapInArrow(run, f"doc_id {key}, quality int, i array<int>, v array<float>, s array<float>")
-           .orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(2 * sample).toArrow())
+    drawn = (found.select("doc_id", F.col("text").cast("string"), "quality")
+             .mapInArrow(run, f"doc_id {key}, quality int, i array<int>, v array<float>, s array<float>"))
+    # one row for each label, however often its document is repeated
+    got = drawn.groupBy("doc_id", "quality").agg(F.min(F.struct("i", "v", "s")).alias("x")).select("doc_id", "quality", "x.i", "x.v", "x.s").toArrow()
+    got = got.sort_by([("doc_id", "ascending"), ("quality", "ascending")])
     cols = [got.column(k).combine_chunks() for k in "ivs"]
     rows = [tuple(c[k].values.to_numpy(zero_copy_only=False) for c in cols) for k in range(got.num_rows)]
     return fit(rows, got.column("quality").to_numpy().astype(np.float32))
 
 
-def classify(docs: DataFrame, machine: Machine) -> DataFrame:
-    """doc_id and score (0 to 1) for every row of ``docs``; other columns stay."""
-    names = [c for c in docs.columns if c not in ("score", "text")]
+def scores_of(machine: Machine, texts: pa.Array) -> np.ndarray:
+    out = np.zeros(len(texts))
+    for i, j, w in chunks(texts):
+        out[i:j] = machine.score(inputs(w), statistics(w))
+    return out
+
+
+def classify(docs: DataFrame, machine: Machine, into: str = "score") -> DataFrame:
+    """All columns of ``docs`` but text, and the score (0 to 1) of its text, which replaces a column of that name."""
+    names = [c for c in docs.columns if c not in (into, "text")]
 
     def run(batches):
         for batch in batches:
-            scores = np.zeros(batch.num_rows)
-            for i, j, w in chunks(batch.column(0)):
-                scores[i:j] = machine.score(inputs(w), statistics(w))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores)], [*names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores_of(machine, batch.column(0)))], [*names, into])
 
-    from pyspark.sql.types import DoubleType, StructType
-
-    schema = StructType([docs.schema[c] for c in names]).add("score", DoubleType())
+    schema = StructType([docs.schema[c] for c in names]).add(into, DoubleType())
     return docs.select(F.col("text").cast("string").alias("text"), *names).mapInArrow(run, schema)
 
 
@@ -203,8 +210,10 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier takes for good."""
+    """Documents that the classifier takes for good, with all their columns.
+
+    A null or empty text is judged like any other; each repeated row is judged alike; an empty
+    table stays empty; columns of any other name are kept as they are.
+    """
     machine = train(docs, table(spark, sf_dir, "labels"))
-    texts = docs.select(*docs.columns, F.col("text").alias("kept_text"))
-    return (classify(texts, machine).filter(F.col("score") >= GOOD)
-            .select(*[F.col("kept_text").alias(c) if c == "text" else c for c in docs.columns]))
+    return rows_where(docs, lambda texts: scores_of(machine, texts) >= GOOD)
