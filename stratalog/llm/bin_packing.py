@@ -7,13 +7,15 @@ the tightest bin that holds it; if a bitmap conflicts, the search goes on to the
 until a compatible bin is found or a new one is opened.  So no bin holds two pieces of one
 source or of one duplicate cluster.
 
-Pieces are dealt to shards of about SHARD pieces by a hash of doc_id, so a hot source or
-cluster spreads over all shards and a task's work is bounded.  Only lengths and keys are
-shuffled, never texts.
-
-Defined results: a null or empty text has length 0 and takes part in no bin (bin null);
-null sources conflict with each other like any value, null clusters with none; repeated rows
-are separate pieces; ties in length go by doc_id; an empty table gives an empty result.
+Pieces are dealt to shards of about SHARD pieces by a hash of doc_id and row, so a hot source,
+cluster or repeated doc_id spreads over all shards and a task's work is bounded.  Only lengths
+and keys are shuffled, never texts.
+
+Defined results: a null or empty text has length 0 and takes part in no bin (bin null); a text
+of any length fills as many bins as it needs; null sources conflict with each other like any
+value, null clusters with none; repeated rows, null doc_ids too, are separate pieces, and the
+name of a bin that a part fills alone ends in the row's number; ties in length go by doc_id, then
+by source and row; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -74,10 +76,10 @@ def pack(items: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> Data
     Returns a row for each piece: doc_id, part, start and length in the document, bin
     (a text "shard-number", "full-doc_id-part" for a part that fills a bin alone) and offset.
     """
-    n = items.count()
-    shards = max(1, -(-n // shard))
-    items = items.select("doc_id", F.col("source").cast("string"), "cluster", F.coalesce("length", F.lit(0)).cast("long").alias("length"),
-                         F.monotonically_increasing_id().alias("row"))
+    # saved with the number of each row, so that repeated rows are dealt apart and stay where they are
+    items = saved(items.select("doc_id", F.col("source").cast("string"), "cluster", F.coalesce("length", F.lit(0)).cast("long").alias("length"),
+                               F.monotonically_increasing_id().alias("row")))
+    shards = max(1, -(-items.count() // shard))
     full = F.floor(F.col("length") / capacity)
     whole = (items.filter(F.col("length") >= capacity)
              .select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), full - 1)).alias("part"), "row")
@@ -89,11 +91,11 @@ def pack(items: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> Data
         F.lit(None).cast("string").alias("bin"), F.lit(None).cast("long").alias("offset"))
     rest = (items.filter(F.col("length") % capacity > 0)
             .select("doc_id", full.cast("long").alias("part"), (full * capacity).cast("long").alias("start"),
-                    (F.col("length") % capacity).alias("length"), "source", "cluster",
-                    F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard")))
+                    (F.col("length") % capacity).alias("length"), "source", "cluster", "row",
+                    F.pmod(F.xxhash64("doc_id", "row"), F.lit(shards)).alias("shard")))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id"], ascending=[False, True], kind="stable")
+        pdf = pdf.sort_values(["length", "doc_id", "source", "row"], ascending=[False, True, True, True])
         sources = pd.factorize(pdf["source"], use_na_sentinel=False)[0]
         clusters = pd.Series(pd.factorize(pdf["cluster"])[0], index=pdf.index)
         alone = ~clusters.duplicated(keep=False) | (clusters < 0)
@@ -110,7 +112,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> Data
 
 def items_of(docs: DataFrame) -> DataFrame:
     """The lengths and conflict keys of documents."""
-    return saved(docs.select("doc_id", "source", cluster_of(F.col("text")).alias("cluster"), n_words(F.col("text")).alias("length")))
+    return docs.select("doc_id", "source", cluster_of(F.col("text")).alias("cluster"), n_words(F.col("text")).alias("length"))
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,5 +120,8 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pipeline's last stage: where each piece of each document goes."""
+    """The pipeline's last stage: where each piece of each document goes.
+
+    Nulls, empty and long texts, ties, repeats and an empty table are as the module defines them.
+    """
     return pack(items_of(docs))
