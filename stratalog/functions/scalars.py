@@ -15,9 +15,9 @@ def round3(x: Column) -> Column:
     return F.floor(x * 1000 + 0.5) / 1000
 
 
-def age_days(time: Column, now: int) -> Column:
-    """Whole days from an epoch to ``now``, at least 0."""
-    return F.greatest(F.lit(0), F.floor((F.lit(now) - time) / 86400)).cast("long")
+def age_days(time: Column | str, now: int) -> Column:
+    """Whole days from an epoch to ``now``, at least 0; null for none."""
+    return F.when(time.isNotNull(), F.greatest(F.lit(0), F.floor((F.lit(now) - time) / 86400))).cast("long")
 
 
 def identity() -> Column:

@@ -42,15 +42,16 @@ def read_manifest(name: str, text: str) -> list[tuple[str, str | None, str]]:
     return [(*r, "PyPI") for r in map(requirement, lines) if r]
 
 
-def dependencies(files: DataFrame) -> DataFrame:
-    """repo, path, name, version, ecosystem, pinned of every manifest."""
+def dependencies(files: DataFrame, root_only: bool = True) -> DataFrame:
+    """repo, path, name, version, ecosystem, pinned of the manifests in each repo's root, or of all."""
     def run(batches):
         for pdf in batches:
             rows = [(repo, path, *d, d[1] is not None) for repo, path, text in zip(pdf["repo"], pdf["path"], pdf["content"])
                     for d in read_manifest(path.rsplit("/", 1)[-1], text or "")]
             yield pd.DataFrame(rows, columns=["repo", "path", "name", "version", "ecosystem", "pinned"])
 
-    found = files.filter(F.substring_index("path", "/", -1).rlike(r"^(requirements.*\.txt|pyproject\.toml|package\.json)$")).select("repo", "path", "content")
+    place = F.col("path") if root_only else F.substring_index("path", "/", -1)
+    found = files.filter(place.rlike(r"^(requirements.*\.txt|pyproject\.toml|package\.json)$")).select("repo", "path", "content")
     return found.mapInPandas(run, "repo string, path string, name string, version string, ecosystem string, pinned boolean")
 
 
@@ -58,3 +59,14 @@ def afflictions(deps: DataFrame, advisories: DataFrame) -> DataFrame:
     """Pinned dependencies with the advisories (name, version, ecosystem, advisory) that name them."""
     hit = deps.filter("version is not null").join(advisories, ["name", "version", "ecosystem"])
     return hit.groupBy("repo", "name", "version").agg(F.array_join(F.array_sort(F.collect_set("advisory")), ",").alias("ids"))
+
+
+def dependency_audit(deps: DataFrame, advisories: DataFrame) -> DataFrame:
+    """Every dependency with the ids of its advisories, '' where there are none or it isn't pinned."""
+    ids = advisories.groupBy("name", "version", "ecosystem").agg(F.array_join(F.array_sort(F.collect_set("advisory")), " ").alias("ids"))
+    return deps.join(ids, ["name", "version", "ecosystem"], "left").select("repo", "path", "name", "version", "ecosystem", "pinned", F.coalesce("ids", F.lit("")).alias("ids"))
+
+
+def audit_summary(audit: DataFrame) -> DataFrame:
+    """Per repo: dependencies, those not pinned, those with an advisory."""
+    return audit.groupBy("repo").agg(F.count("*").alias("dependencies"), F.count_if(~F.col("pinned")).alias("unpinned"), F.count_if(F.col("ids") != "").alias("afflicted"))

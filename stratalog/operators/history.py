@@ -79,12 +79,47 @@ def file_dossier(changes: DataFrame, paths: list[str]) -> DataFrame:
         "repo", "path", "author_name", "commits", round3(F.col("commits") / F.col("total")).alias("share"), "insertions", "deletions", "created", "touched")
 
 
+def dossiers(changes: DataFrame, files: DataFrame, blame: DataFrame | None = None, former: DataFrame | None = None, now: int = 0) -> DataFrame:
+    """One row per path: whether it exists, when and by which commit it began, commits, churn and authors.
+
+    With ``blame`` (repo, path, line, author_time) the ages of its lines, with ``former`` (repo,
+    path, name, place) the names it had, the newest first.  ``changes`` of one path, read with
+    the option follow, carry its history over renames.
+    """
+    one = changes.groupBy("repo", "path").agg(
+        F.max_by(F.struct("author_date", "sha"), "seq").alias("b"), F.count("*").alias("commits"), _sum("insertions").alias("insertions"),
+        _sum("deletions").alias("deletions"), F.count_distinct("author_name").alias("authors"))
+    living = files.select("repo", "path").distinct().withColumn("found", F.lit(True))
+    out = one.join(living, ["repo", "path"], "left").select(
+        "repo", "path", F.coalesce("found", F.lit(False)).alias("exists"), F.col("b.author_date").alias("created"), F.col("b.sha").alias("created_sha"),
+        "commits", "insertions", "deletions", "authors")
+    if former is not None:
+        names = former.groupBy("repo", "path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "name"))), lambda x: x["name"]), ",").alias("former_names"))
+        out = out.join(names, ["repo", "path"], "left").withColumn("former_names", F.coalesce("former_names", F.lit("")))
+    return out if blame is None else out.join(blame_ages(blame, now), ["repo", "path"], "left")
+
+
+def dossier_of(changes: DataFrame, paths: list[str], **parts) -> DataFrame:
+    """``dossiers`` of the given paths; a path that no commit ever touched is an error."""
+    own = changes.filter(F.col("path").isin(paths))
+    known = {r["path"] for r in own.select("path").distinct().collect()}
+    if missing := [p for p in paths if p not in known]:
+        raise KeyError(f"no history of {', '.join(missing)}")
+    return dossiers(own, **parts)
+
+
 def blame_ages(blame: DataFrame, now: int) -> DataFrame:
-    """Per path: lines, and days since the oldest, newest and upper median line."""
-    times = F.array_sort(F.collect_list("author_time"))
-    b = blame.groupBy("path").agg(times.alias("t"))
-    return b.select("path", F.size("t").cast("long").alias("lines"), age_days(F.element_at("t", 1), now).alias("oldest_days"),
-                    age_days(F.element_at("t", -1), now).alias("newest_days"), age_days(F.get("t", F.expr("size(t) div 2")), now).alias("median_days"))
+    """Per path: lines, and days since the oldest, newest and upper median line.
+
+    Lines are counted per time first, so that a path's lines never meet in one row.
+    """
+    keys = [c for c in ("repo", "path") if c in blame.columns]
+    n = blame.groupBy(*keys, "author_time").agg(F.count("*").alias("n"))
+    w = Window.partitionBy(*keys)
+    n = n.withColumn("up", F.sum("n").over(w.orderBy("author_time"))).withColumn("lines", F.sum("n").over(w))
+    middle = F.min(F.when(F.col("up") > F.floor(F.col("lines") / 2), F.col("author_time")))
+    return n.groupBy(*keys).agg(F.max("lines").alias("lines"), age_days(F.min("author_time"), now).alias("oldest_days"),
+                                age_days(F.max("author_time"), now).alias("newest_days"), age_days(middle, now).alias("median_days"))
 
 
 def repo_card(commits: DataFrame, now: int) -> DataFrame:
@@ -137,41 +172,62 @@ def changelog_draft(commits: DataFrame, tags: DataFrame) -> DataFrame:
         F.when(F.col("b"), "major").when(F.col("m"), "minor").when(F.col("commits") > 0, "patch").otherwise("none").alias("bump"))
 
 
-def compare_refs(commits: DataFrame, changes: DataFrame, newest: int, oldest: int) -> DataFrame:
-    """Commits ``newest`` <= seq < ``oldest`` of each repo: totals and first-time contributors."""
-    inside = (F.col("seq") >= newest) & (F.col("seq") < oldest)
-    c, f = commits.filter(inside), changes.filter(inside)
-    before = commits.filter(F.col("seq") >= oldest).select("repo", identity().alias("who")).distinct()
-    new = c.select("repo", identity().alias("who"), "author_name").join(before, ["repo", "who"], "left_anti").groupBy("repo").agg(
+def compare(inside: DataFrame, changes: DataFrame, before: DataFrame) -> DataFrame:
+    """Totals of the commits ``inside`` a range and its first-time contributors.
+
+    ``inside`` and ``changes`` are what the newer ref reaches and the older doesn't (the source's
+    option ref "A..B"), ``before`` what the older reaches.
+    """
+    old = before.select("repo", identity().alias("who")).distinct()
+    new = inside.select("repo", identity().alias("who"), "author_name").join(old, ["repo", "who"], "left_anti").groupBy("repo").agg(
         F.array_join(F.array_sort(F.collect_set("author_name")), ",").alias("new_contributors"))
-    total = c.groupBy("repo").agg(F.count("*").alias("commits"), F.count_distinct(identity()).alias("contributors"))
-    churn = f.groupBy("repo").agg(_sum("insertions").alias("insertions"), _sum("deletions").alias("deletions"), F.count_distinct("path").alias("files"))
+    total = inside.groupBy("repo").agg(F.count("*").alias("commits"), F.count_distinct(identity()).alias("contributors"))
+    churn = changes.groupBy("repo").agg(_sum("insertions").alias("insertions"), _sum("deletions").alias("deletions"), F.count_distinct("path").alias("files"))
     return total.join(churn, "repo", "left").join(new, "repo", "left").select(
         "repo", "commits", "contributors", *[F.coalesce(x, F.lit(0)).cast("long").alias(x) for x in ("insertions", "deletions", "files")],
         F.coalesce("new_contributors", F.lit("")).alias("new_contributors"))
 
 
+def compare_refs(commits: DataFrame, changes: DataFrame, newest: int, oldest: int) -> DataFrame:
+    """``compare`` of the commits ``newest`` <= seq < ``oldest`` of a log without merges."""
+    inside = (F.col("seq") >= newest) & (F.col("seq") < oldest)
+    return compare(commits.filter(inside), changes.filter(inside), commits.filter(F.col("seq") >= oldest))
+
+
+def compare_contributors(inside: DataFrame, before: DataFrame) -> DataFrame:
+    """repo, rank, name, commits, is_new: who wrote the commits of a range, by identity, named as in the newest of them."""
+    old = before.select("repo", identity().alias("who")).distinct().withColumn("known", F.lit(True))
+    n = inside.groupBy("repo", identity().alias("who")).agg(F.count("*").alias("commits"), F.min_by("author_name", "seq").alias("name"), F.min("seq").alias("newest"))
+    w = Window.partitionBy("repo").orderBy(F.desc("commits"), F.lower("name"), "newest")
+    return n.join(old, ["repo", "who"], "left").select("repo", F.row_number().over(w).cast("long").alias("rank"), "name", "commits", F.col("known").isNull().alias("is_new"))
+
+
 def compare_files(changes: DataFrame, newest: int, oldest: int) -> DataFrame:
     """Churn of each path in the range."""
     c = changes.filter((F.col("seq") >= newest) & (F.col("seq") < oldest))
     return c.groupBy("repo", "path").agg(_sum("insertions").alias("insertions"), _sum("deletions").alias("deletions"))
 
 
-#: The prefixes that count as conventional, and words that are no theme.
-CONVENTIONAL = ("feat", "fix", "docs", "style", "refactor", "perf", "test", "build", "ci", "chore")
+# The prefixes that count as conventional, and words of a fix's subject that are no theme.
+CONVENTIONAL = ("feat", "fix", "chore", "docs", "refactor", "test", "style", "perf", "build", "ci")
+STOP_WORDS = (
+    "a", "an", "and", "are", "as", "at", "be", "bug", "by", "fix", "fixed", "fixes", "for", "from", "in", "is", "it", "its", "not", "now", "of",
+    "on", "or", "that", "the", "this", "to", "was", "when", "with",
+)
+THEME = "[a-z][a-z0-9_-]{2,}"
 
 
 def commit_prefixes(commits: DataFrame) -> DataFrame:
     """Per repo: how often each conventional prefix occurs, and the share of conventional subjects."""
-    kind = F.regexp_extract("subject", r"^(" + "|".join(CONVENTIONAL) + r")(\([^)]*\))?!?:", 1)
+    kind = F.regexp_extract("subject", r"^(" + "|".join(CONVENTIONAL) + r")(\(.+\))?!?:", 1)
     n = commits.groupBy("repo", kind.alias("prefix")).agg(F.count("*").alias("commits"))
     all_ = commits.groupBy("repo").agg(F.count("*").alias("total"), F.sum((kind != "").cast("int")).alias("conventional"))
     return n.filter("prefix <> ''").join(all_, "repo").select("repo", "prefix", "commits", round3(F.col("conventional") / F.col("total")).alias("conventional_share"))
 
 
-def fix_themes(commits: DataFrame, stop: tuple[str, ...] = ("the", "and", "for", "with", "from", "into", "when", "fix", "bug"), limit: int = 10) -> DataFrame:
-    """Words that stand in more than one fix's subject; ties go to the word met first."""
-    words = commits.filter(is_fix(F.col("subject"))).select("repo", "seq", F.posexplode(F.regexp_extract_all(F.lower("subject"), F.lit("[a-z]{3,}"), F.lit(0))).alias("pos", "word"))
+def fix_themes(commits: DataFrame, stop: tuple[str, ...] = STOP_WORDS, limit: int = 10) -> DataFrame:
+    """Words that stand more than once in subjects of fixes; ties go to the word met first."""
+    words = commits.filter(is_fix(F.col("subject"))).select("repo", "seq", F.posexplode(F.regexp_extract_all(F.lower("subject"), F.lit(THEME), F.lit(0))).alias("pos", "word"))
     n = words.filter(~F.col("word").isin(*stop)).groupBy("repo", "word").agg(F.count("*").alias("n"), F.min(F.struct("seq", "pos")).alias("met"))
     w = Window.partitionBy("repo").orderBy(F.desc("n"), "met")
     return n.filter("n > 1").withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= limit).select("repo", "rank", "word", "n")

@@ -12,13 +12,14 @@ from ..functions.scalars import age_days, is_fix, round3, top_dir
 
 
 def stale_files(changes: DataFrame, files: DataFrame, now: int, limit: int | None = None) -> DataFrame:
-    """Working files by the age of their last touch."""
+    """Working files with the age of their last touch; with ``limit`` the oldest of each repo and their rank."""
     last = changes.groupBy("repo", "path").agg(F.min_by(F.struct("author_time", "sha", "author_date"), "seq").alias("t"))
     out = last.join(files.select("repo", "path"), ["repo", "path"]).select(
         "repo", "path", F.col("t.sha").alias("last_sha"), F.col("t.author_date").alias("last_date"), age_days(F.col("t.author_time"), now).alias("age_days"))
+    if limit is None:
+        return out
     w = Window.partitionBy("repo").orderBy(F.desc("age_days"), "path")
-    out = out.withColumn("rank", F.row_number().over(w).cast("long"))
-    return out if limit is None else out.filter(F.col("rank") <= limit)
+    return out.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= limit)
 
 
 def branch_hygiene(branches: DataFrame, now: int, stale_after: int | None = None) -> DataFrame:

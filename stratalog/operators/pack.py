@@ -7,6 +7,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scalars import fence_length, n_lines, unsafe_path
@@ -24,17 +25,26 @@ def pack_receipts(files: DataFrame) -> DataFrame:
 
 
 def shard(receipts: DataFrame, budget: int) -> DataFrame:
-    """The part of each file: in walk order, a part ends where its tokens would pass ``budget``."""
-    items = receipts.groupBy("repo").agg(F.array_sort(F.collect_list(F.struct(F.split("path", "/").alias("order"), "path", "tokens"))).alias("items"))
-    zero = F.struct(F.lit(1).alias("part"), F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<path:string,part:int>>").alias("out"))
-
-    def step(a, x):
-        full = (a["used"] > 0) & (a["used"] + x["tokens"] > budget)
-        part = F.when(full, a["part"] + 1).otherwise(a["part"])
-        used = F.when(full, x["tokens"]).otherwise(a["used"] + x["tokens"])
-        return F.struct(part.alias("part"), used.cast("long").alias("used"), F.concat(a["out"], F.array(F.struct(x["path"].alias("path"), part.alias("part")))).alias("out"))
-
-    return items.select("repo", F.explode(F.aggregate("items", zero, step)["out"]).alias("x")).select("repo", "x.path", F.col("x.part").cast("long").alias("part"))
+    """The part of each file: in walk order, a part ends where its tokens would pass ``budget``.
+
+    Where a part ends depends on all files before it, so a repo's sizes (not its texts) go by in
+    order in one task, as a stream that keeps nothing but the part's tokens.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        repo, part, used = None, 0, 0
+        for batch in batches:
+            parts = []
+            for own, tokens in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if own != repo:
+                    repo, part, used = own, 1, 0
+                elif used and used + tokens > budget:
+                    part, used = part + 1, 0
+                used += tokens
+                parts.append(part)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(parts, pa.int64())], ["repo", "path", "part"])
+
+    ordered = receipts.select("repo", "path", "tokens").repartition("repo").sortWithinPartitions("repo", F.split("path", "/"))
+    return ordered.mapInArrow(run, "repo string, path string, part long")
 
 
 def render(path: str, content: str) -> str:

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.scalars import age_days, is_fix, round3, top_dir
+from . import history
+from .secret_rules import severity_rank
 
 #: Weights of the risk score's parts.
 WEIGHTS = {"churn": 0.4, "bug": 0.3, "age": 0.2, "size": 0.1}
@@ -57,39 +59,64 @@ def repo_portrait(files: DataFrame, limit: int = 10) -> DataFrame:
     return n.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= limit)
 
 
-def purge_plan(dead_blobs: DataFrame, findings: DataFrame, least: int) -> DataFrame:
+def portrait(commits: DataFrame, changes: DataFrame, files: DataFrame, now: int) -> dict[str, DataFrame]:
+    """The parts of a portrait, by name: people (eight), activity, slices of the tree, bus factor and vitals."""
+    return {
+        "people": history.contributors(commits, changes).filter("rank <= 8"), "activity": history.activity_grid(commits), "slices": repo_portrait(files),
+        "bus_factor": history.bus_factor(commits), "vitals": history.repo_card(commits, now),
+    }
+
+
+#: Bytes from which a dead blob is worth a rewrite.
+WORTH = 1 << 20
+WARNINGS = (
+    "a rewrite gives every commit after the oldest touched one a new id",
+    "change leaked secrets first: they are known, wherever they are removed from",
+    "work on a fresh clone and keep a copy; a rewrite can't be taken back",
+    "everyone who has a clone or a fork must rebase or clone again",
+)
+
+
+def purge_plan(dead_blobs: DataFrame, findings: DataFrame, least: int = WORTH) -> DataFrame:
     """What a history rewrite would remove: dead blobs of ``least`` bytes, and paths of findings that no blob names."""
     blobs = dead_blobs.filter(F.col("size") >= least).select("repo", "path", "size", F.lit("blob").alias("reason"))
-    w = Window.partitionBy("repo", "path").orderBy("line", "rule")
-    first = findings.withColumn("r", F.row_number().over(w)).filter("r = 1").select("repo", "path", F.lit(0).cast("long").alias("size"), F.concat(F.lit("secret "), "rule").alias("reason"))
+    first = findings.groupBy("repo", "path").agg(F.min_by("rule", F.struct(severity_rank(F.col("severity")), "line", "rule")).alias("rule"))
+    first = first.select("repo", "path", F.lit(0).cast("long").alias("size"), F.concat(F.lit("secret "), "rule").alias("reason"))
     return blobs.unionByName(first.join(blobs.select("repo", "path").distinct(), ["repo", "path"], "left_anti"))
 
 
-def purge_commands(targets: list[tuple[str, str]], least: int) -> list[str]:
-    """Command lines of the plan; they are printed, never run."""
-    import shlex
+def _shown(word: str) -> str:
+    return f'"{word}"' if " " in word else word
+
 
-    size = f"{least // 1024}K" if least % 1024 == 0 else str(least)
-    out = [f"git filter-repo --strip-blobs-bigger-than {size}"] if any(r == "blob" for _, r in targets) else []
-    return out + [f"git filter-repo --invert-paths --path {shlex.quote(p)}" for p, r in targets if r != "blob"]
+def purge_commands(targets: list[tuple[str, str]], least: int = WORTH) -> list[str]:
+    """Command lines of a repo's plan (path, reason) for two tools; they are printed, never run."""
+    if not targets:
+        return []
+    paths = sorted({p for p, _ in targets})
+    unit = next((f"{least // n}{label}" for n, label in ((1 << 30, "G"), (1 << 20, "M"), (1 << 10, "K")) if least % n == 0), str(least))
+    out = ["git filter-repo --invert-paths " + " ".join(f"--path {_shown(p)}" for p in paths)]
+    out += [f"git filter-repo --strip-blobs-bigger-than {unit}"] * any(r == "blob" for _, r in targets)
+    return [*out, "bfg " + " ".join(f"--delete-files {_shown(n)}" for n in sorted({p.rsplit("/", 1)[-1] for p in paths}))]
 
 
-def triage_board(risk: DataFrame, stale: DataFrame, findings: DataFrame | None = None, unpinned: DataFrame | None = None) -> DataFrame:
-    """Findings, risky files, unpinned dependencies and stale files on one scale."""
-    parts = [
-        risk.filter("score >= 0.4").select("repo", F.lit("risk").alias("source"), F.col("path").alias("subject"), (F.col("score") * 0.9).alias("severity")),
-        stale.filter("age_days >= 180").select("repo", F.lit("stale").alias("source"), F.col("path").alias("subject"),
-                                               F.least(F.lit(0.4), F.col("age_days") / 3650 * 0.4).alias("severity")),
-    ]
+def triage_board(risk: DataFrame, stale: DataFrame, findings: DataFrame | None = None, audit: DataFrame | None = None) -> DataFrame:
+    """Findings, risky files, afflicted dependencies and stale files on one scale."""
+    severity = {
+        "risk": (risk.filter("score >= 0.4"), F.col("path"), lambda df: F.col("score") * 0.9),
+        "stale": (stale.filter("age_days >= 180"), F.col("path"), lambda df: F.least(F.lit(0.4), F.col("age_days") / 3650 * 0.4)),
+    }
     if findings is not None:
         level = F.when(F.col("severity") == "high", 1.0).when(F.col("severity") == "medium", 0.75).otherwise(0.5)
-        parts.append(findings.select("repo", F.lit("secret").alias("source"), F.col("path").alias("subject"), level.alias("severity")))
-    if unpinned is not None:
-        parts.append(unpinned.select("repo", F.lit("dependency").alias("source"), F.col("name").alias("subject"), F.lit(0.9).alias("severity")))
+        severity["secret"] = (findings.filter(~F.col("suppressed")), F.col("path"), lambda df: level)
+    if audit is not None:
+        each = audit.filter("ids <> ''").withColumn("id", F.explode(F.split("ids", " ")))
+        severity["dependency"] = (each, F.concat_ws(" ", "name", "version", "id"), lambda df: F.lit(0.9))
+    parts = [df.select("repo", F.lit(name).alias("source"), subject.alias("subject"), round3(at(df)).alias("severity")) for name, (df, subject, at) in severity.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.withColumn("severity", round3(F.col("severity")))
+    return out
 
 
 def policy_gate(spark, checks: dict[str, Callable[[], DataFrame]]) -> DataFrame:

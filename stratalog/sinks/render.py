@@ -12,11 +12,15 @@ import hashlib
 import html
 import io
 import json
+import shutil
+import sys
 import tarfile
 import zipfile
 from dataclasses import asdict, dataclass
+from pathlib import Path
+from typing import IO
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, functions as F
 
 LIMIT = 10_000
 
@@ -37,7 +41,7 @@ class TooLarge(ValueError):
     """A report would have more rows than its limit."""
 
 
-def rows_of(df: DataFrame, order: list[str], limit: int = LIMIT) -> list[dict]:
+def rows_of(df: DataFrame, order: list[str | Column], limit: int = LIMIT) -> list[dict]:
     """The rows in a total order; more than ``limit`` is an error, never a silent cut."""
     rows = df.orderBy(*order).limit(limit + 1).collect()
     if len(rows) > limit:
@@ -91,11 +95,10 @@ def to_svg_grid(cells: dict[tuple[int, int], int], size: int = 14) -> str:
 
 def human_size(n: int) -> str:
     """1000-based, one decimal."""
-    for unit in ("B", "kB", "MB", "GB"):
-        if n < 1000:
-            return f"{n} {unit}" if unit == "B" else f"{n:.1f} {unit}"
-        n = n / 1000
-    return f"{n:.1f} TB"
+    if n < 1000:
+        return f"{n} B"
+    power = next(p for p in (1, 2, 3, 4) if n < 1000 ** (p + 1) or p == 4)
+    return f"{n / 1000**power:.1f} {'KMGT'[power - 1]}B"
 
 
 def spark_line(values: list[int]) -> str:
@@ -121,20 +124,30 @@ def ascii_tree(paths: list[str]) -> str:
     return "\n".join(draw(tree, 0)) + "\n"
 
 
-def snapshot_archive(files: dict[str, bytes], mtime: int, prov: Provenance) -> tuple[bytes, str]:
-    """A tar.gz with the same bytes for the same files, and its sha256."""
-    listing = "".join(f"{hashlib.sha256(files[p]).hexdigest()}  {p}\n" for p in sorted(files))
-    whole = {**files, "MANIFEST.sha256": listing.encode(), "PROVENANCE": "".join(f"{k}: {v}\n" for k, v in asdict(prov).items()).encode()}
+def tar_archive(files: dict[str, bytes], mtime: int = 0) -> bytes:
+    """A tar with the same bytes for the same files: sorted, without owners."""
     raw = io.BytesIO()
     with tarfile.open(fileobj=raw, mode="w", format=tarfile.PAX_FORMAT) as tar:
-        for p in sorted(whole):
+        for p in sorted(files):
             info = tarfile.TarInfo(p)
-            info.size, info.mtime, info.mode = len(whole[p]), mtime, 0o644
-            tar.addfile(info, io.BytesIO(whole[p]))
+            info.size, info.mtime, info.mode = len(files[p]), mtime, 0o644
+            tar.addfile(info, io.BytesIO(files[p]))
+    return raw.getvalue()
+
+
+def targz_archive(files: dict[str, bytes], mtime: int = 0) -> bytes:
     out = io.BytesIO()
     with gzip.GzipFile(fileobj=out, mode="wb", mtime=mtime, filename="") as z:
-        z.write(raw.getvalue())
-    return out.getvalue(), hashlib.sha256(out.getvalue()).hexdigest()
+        z.write(tar_archive(files, mtime))
+    return out.getvalue()
+
+
+def snapshot_archive(files: dict[str, bytes], mtime: int, prov: Provenance) -> tuple[bytes, str]:
+    """A tar.gz of the files, their hashes and provenance, and its sha256."""
+    listing = "".join(f"{hashlib.sha256(files[p]).hexdigest()}  {p}\n" for p in sorted(files))
+    facts = "".join(f"{k}: {v}\n" for k, v in asdict(prov).items())
+    done = targz_archive({**files, "MANIFEST.sha256": listing.encode(), "PROVENANCE": facts.encode()}, mtime)
+    return done, hashlib.sha256(done).hexdigest()
 
 
 def zip_archive(files: dict[str, bytes]) -> bytes:
@@ -143,3 +156,73 @@ def zip_archive(files: dict[str, bytes]) -> bytes:
         for p in sorted(files):
             z.writestr(zipfile.ZipInfo(p, (1980, 1, 1, 0, 0, 0)), files[p])
     return out.getvalue()
+
+
+ARCHIVES = {".zip": zip_archive, ".tar": tar_archive, ".tar.gz": targz_archive}
+
+
+def emit(text: str, out: Path | None = None, stream: IO[str] | None = None) -> None:
+    """To a file, made with its folders, or to a stream (else standard output); nothing else is ever written there."""
+    if out is None:
+        (stream or sys.stdout).write(text)
+        return
+    out.parent.mkdir(parents=True, exist_ok=True)
+    out.write_text(text, encoding="utf-8", newline="")
+
+
+def write_sections(sections: DataFrame, out: Path, column: str = "section") -> int:
+    """Sections (repo, path, text) in walk order as one file; rows come one partition at a time.  Returns how many."""
+    n = 0
+    out.parent.mkdir(parents=True, exist_ok=True)
+    with out.open("w", encoding="utf-8", newline="") as f:
+        for row in sections.orderBy("repo", F.split("path", "/")).select(column).toLocalIterator():
+            f.write(row[0])
+            n += 1
+    return n
+
+
+class UnpackError(ValueError):
+    """A packed tree that must not be written there."""
+
+
+def write_files(rows: DataFrame, target: Path, force: bool = False) -> list[str]:
+    """Writes unpacked files (repo, path, content, hash_ok, unsafe) below ``target``; returns paths whose hash differs.
+
+    Nothing is written if a path is unsafe or occurs twice, or the folder isn't empty and ``force``
+    isn't given.  Files whose hash differs are written all the same, so that they can be looked at.
+    """
+    if target.exists() and any(target.iterdir()) and not force:
+        raise UnpackError(f"{target} is not empty")
+    if bad := rows.filter("unsafe is not null").orderBy("path").head():
+        raise UnpackError(f"{bad['path']!r}: {bad['unsafe']}")
+    if twice := rows.groupBy("path").count().filter("count > 1").orderBy("path").head():
+        raise UnpackError(f"{twice['path']!r} occurs twice")
+    differ = []
+    for row in rows.orderBy("path").toLocalIterator():
+        at = target / row["path"]
+        at.parent.mkdir(parents=True, exist_ok=True)
+        at.write_text(row["content"], encoding="utf-8", newline="")
+        if row["hash_ok"] is False:
+            differ.append(row["path"])
+    return differ
+
+
+def copy_skills(root: Path, skills: list[dict], files: list[dict], out: Path, source: str) -> Path:
+    """Copies skill folders of a tree byte for byte below ``out``, each under its name, and writes their index.
+
+    ``skills`` and ``files`` are rows of ``collect_skills`` and ``skill_files``.  A skill that is
+    there already is replaced; without skills nothing is written.
+    """
+    for s in skills:
+        to = out / s["name"]
+        shutil.rmtree(to, ignore_errors=True)
+        for f in files:
+            if f["dir"] == s["dir"] and not (root / f["path"]).is_symlink():
+                (to / f["file"]).parent.mkdir(parents=True, exist_ok=True)
+                shutil.copy2(root / f["path"], to / f["file"])
+    if skills:
+        rows = [f"| [{s['name']}]({s['name']}/SKILL.md) | {s['dir'] or '.'} | {s['description']} |" for s in skills]
+        binary = [f"- {s['name']}: {s['binaries']}" for s in skills if s["binaries"]]
+        emit("\n".join([f'---\nname: {out.name}\ndescription: "{len(skills)} skills of {source}"\n---', "", "| skill | folder | description |", "| --- | --- | --- |", *rows,
+                        *(["", "## Binary files", "", *binary] if binary else [])]) + "\n", out / "SKILL.md")
+    return out

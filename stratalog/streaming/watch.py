@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators.text import RULES, scan_rules
+from ..operators.files import snapshot_diff
+from ..operators.secret_rules import RULES, scan_rules
 
 STATE = "size long, mtime long, seen long"
 CHANGES = "repo string, path string, change string, tick long"
@@ -48,6 +50,36 @@ def watch(observations: DataFrame, checkpoint: str, act: Callable[[DataFrame], N
     return changes(observations).writeStream.option("checkpointLocation", checkpoint).foreachBatch(run).trigger(availableNow=True).start()
 
 
+def poll(snapshot: Callable[[], DataFrame], act: Callable[[DataFrame | None], None], folder: str, polls: int, seconds: float = 2.0,
+         errors: list | None = None, rest: Callable[[float], None] = time.sleep) -> int:
+    """Acts once at the start (on None), then on the changes between each two snapshots (repo, path, size, mtime), if there are any.
+
+    Snapshots are written below ``folder``, which executors share; a failing action is noted and
+    polling goes on.  Returns how often it acted.
+    """
+    def do(found: DataFrame | None) -> int:
+        try:
+            act(found)
+        except Exception as error:  # the watch outlives its action
+            if errors is not None:
+                errors.append(f"{type(error).__name__}: {error}")
+        return 1
+
+    def keep(k: int) -> DataFrame:
+        df = snapshot().select("repo", "path", "size", "mtime")
+        df.write.mode("overwrite").parquet(f"{folder}/{k % 2}")
+        return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{k % 2}")
+
+    acted, last = do(None), keep(0)
+    for k in range(1, polls + 1):
+        rest(seconds)
+        now = keep(k)
+        found = snapshot_diff(last, now)
+        acted += 0 if found.isEmpty() else do(found)
+        last = now
+    return acted
+
+
 def scan_new(blobs: DataFrame, checkpoint: str, out: str, rules=RULES):
     """Scans blobs that came since the last run; the checkpoint remembers which."""
     found = scan_rules(blobs, rules)

@@ -2,6 +2,8 @@
 
 import os
 
+import numpy as np
+import pandas as pd
 import pytest
 from stratalog.plans import catalog
 
@@ -9,9 +11,10 @@ SF = "/root/testdata/sf0.001"
 
 
 def plain(v):
-    if v is None or v != v:
+    if v is None or v is pd.NA or v != v:
         return None
-    return repr(round(v, 9)) if isinstance(v, float) else str(v.item() if hasattr(v, "item") else v)
+    number = isinstance(v, int | float | np.integer | np.floating) and not isinstance(v, bool)
+    return repr(round(float(v), 9)) if number else str(v.item() if hasattr(v, "item") else v)
 
 
 def table(df, columns):
@@ -37,7 +40,7 @@ def test_query_equals_its_sql(spark, duck, name):
 
 
 def test_base_tables_hold_what_queries_need(spark):
-    for name in ("scan_rules", "redact", "extract_code_blocks", "pack_shards", "code_outline"):
+    for name in ("scan_rules_and_sweep", "redact_and_sweep", "extract_code_blocks", "code_outline", "profile_summary"):
         assert catalog.queries()[name](spark, SF).columns
 
 
@@ -45,10 +48,9 @@ def test_base_tables_hold_what_queries_need(spark):
 def test_queries_over_all_files(spark):
     q = catalog.queries()
     texts = spark.read.parquet(f"{SF}/documents.parquet")
-    assert q["gather_receipts_all"](spark, SF).count() == texts.count()
-    assert q["gather_over_total_all"](spark, SF).count() > q["gather_over_total"](spark, SF).count()
-    assert {r.repo for r in q["snapshot_diff_all"](spark, SF).select("repo").distinct().collect()} == {"repo0", "repo1", "repo2"}
-    assert q["trace_origin_all"](spark, SF).select("path").distinct().count() > 2
+    assert q["gather_receipts"](spark, SF).count() == texts.count()
+    assert {r.repo for r in q["snapshot_diff"](spark, SF).select("repo").distinct().collect()} == {"repo0", "repo1", "repo2"}
+    assert q["trace_origin"](spark, SF).select("path").distinct().count() > 2
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -59,5 +61,16 @@ def test_queries_over_whole_texts(spark):
     assert sum(len(r.content) for r in blocks) >= 0.99 * sum(map(len, texts))
     rows = q["code_outline"](spark, SF).collect()
     assert all(r.parsed for r in rows) and sum(r.kind == "function" for r in rows) == sum(t.count("\n") + 1 for t in texts)
-    blamed = q["markers_left_blame"](spark, SF).collect()
+    blamed = q["markers_with_blame"](spark, SF).collect()
     assert len(blamed) == q["markers"](spark, SF).count() and {r.author is None for r in blamed} == {True, False}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_numbering_is_that_of_the_whole_order(spark):
+    from pyspark.sql import Window, functions as F
+    from stratalog.plans import views
+
+    for name, by in (("commits", ["author_time", "sha"]), ("file_events", ["date", "sha"])):
+        v = views.view(spark, SF, name).withColumn("sha", F.col("sha").cast("long"))
+        w = Window.partitionBy("repo").orderBy(*[F.desc(c) for c in by])
+        assert v.withColumn("want", F.row_number().over(w) - 1).filter("want <> seq").count() == 0
