@@ -14,19 +14,21 @@ def components(edges: DataFrame) -> DataFrame:
     them, which halves depths, so rounds grow with the logarithm of the longest path.  A round
     is two pre-aggregated shuffles of the edges; nothing is collected but one checksum.
     """
+    def mark(e: DataFrame):
+        return e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head()
+
     e = saved(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
-    last = None
+    last = mark(e)
     while True:
         # large star: every larger neighbour of x goes to the least of x and its neighbours
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.filter("a <> b").distinct()
+        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
         # small star: every smaller neighbour of x, and x, go to the least of them
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.col("a"), F.col("b"))).alias("a"), F.col("m").alias("b"))
         e = saved(small.filter("a <> b").distinct())
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head()
+        now = mark(e)
         if now == last:
             break
         last = now

@@ -63,7 +63,6 @@ class Forest:
 
     def __init__(self, n: int):
         self.up = list(range(n))
-        self.edges: list[tuple[int, int]] = []
 
     def find(self, x: int) -> int:
         while self.up[x] != x:
@@ -75,7 +74,10 @@ class Forest:
         x, y = self.find(a), self.find(b)
         if x != y:
             self.up[max(x, y)] = min(x, y)
-            self.edges.append((a, b))
+
+    def edges(self) -> list[tuple[int, int]]:
+        """Each joined number but the least of its part, with that: stars, which are put together in few steps."""
+        return [(r, x) for x in range(len(self.up)) if (r := self.find(x)) != x]
 
 
 def groups(n):
@@ -180,7 +182,7 @@ class Tree:
                 for i, j in found:
                     forest.join(int(a0 + i), int(b0 + j))
                 root = _refresh(forest, root, found, a0, b0)
-        return [(int(self.order[a]), int(self.order[b])) for a, b in forest.edges]
+        return [(int(self.order[a]), int(self.order[b])) for a, b in forest.edges()]
 
 
 def _refresh(forest: Forest, root: np.ndarray, found: np.ndarray, a0: int, b0: int) -> np.ndarray:
@@ -254,28 +256,21 @@ def frequent_shingles(docs: DataFrame, sample: int = SAMPLE, least: int = FREQUE
     return np.sort(got.column("k").to_numpy().view(np.uint64))
 
 
-def spanning(rows: DataFrame, key: str, most: int, largest: int, run, order: list[str]) -> DataFrame:
-    """a, b: a spanning forest of a relation in each group of ``rows`` (key, rep, members and what ``run`` needs).
+def spanning(rows: DataFrame, key: str, most: int, largest: int, attach, run, order: list[str]) -> DataFrame:
+    """a, b: a spanning forest of a relation in each group of ``rows`` (key, rep, members).
 
-    ``run`` gets rows that come ordered by key, i and j.  A group of more than ``most`` members is
-    dealt out in blocks.  First each block works alone.  What it joins is one part from then on,
-    and of each part one member meets those of other parts.  Parts that are still apart are
-    compared whole, block by block; so rows are copied to other blocks only in groups that are no
-    family at all, or of more than one.
+    ``attach`` joins to rows what ``run`` needs; ``run`` gets them ordered by key, i and j.  A
+    group of more than ``most`` members is dealt out in blocks.  First each block works alone.
+    What it joins is one part from then on, and of each part one member meets those of other
+    parts.  Parts that are still apart are compared whole, block by block; so rows are copied to
+    other blocks only in groups that are no family at all, or of more than one.
     """
-    def edges(dealt: DataFrame) -> DataFrame:
-        ordered = dealt.drop("members").repartition(key, "i", "j").sortWithinPartitions(key, "i", "j", *order)
-        return saved(ordered.mapInArrow(run, "a long, b long").distinct())
-
     parts = F.ceil(F.col("members") / most).cast("int")
     block = F.pmod(F.xxhash64("rep"), parts).cast("int")
-    found = edges(rows.withColumn("i", block).withColumn("j", F.col("i")).withColumn("side", F.lit(0).cast("long")))
-    if largest <= most:
-        return found
 
-    def labelled() -> DataFrame:
-        label = components(found).select(F.col("id").alias("rep"), "component")
-        return big.join(label, "rep", "left").withColumn("side", F.coalesce("component", "rep")).drop("component")
+    def edges(dealt: DataFrame) -> DataFrame:
+        ordered = attach(dealt.drop("members")).repartition(key, "i", "j").sortWithinPartitions(key, "i", "j", *order)
+        return saved(ordered.mapInArrow(run, "a long, b long").distinct())
 
     def crossed(df: DataFrame, least: int) -> DataFrame:
         """Each row once for each pair of blocks, ``least`` apart or more, that it takes part in."""
@@ -283,15 +278,26 @@ def spanning(rows: DataFrame, key: str, most: int, largest: int, run, order: lis
         both = both.filter(F.abs(F.col("own") - F.col("other")) >= least)
         return both.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("own", "other")
 
-    big = rows.filter(F.col("members") > most)
-    now = labelled()
+    def labelled(found: DataFrame) -> DataFrame:
+        """The large groups' rows with the part that each is in, as ``side``."""
+        label = components(found).select(F.col("id").alias("rep"), "component")
+        side = F.coalesce("component", "rep")
+        return saved(rows.filter(F.col("members") > most).join(label, "rep", "left").withColumn("side", side).drop("component"))
+
+    found = edges(rows.withColumn("i", block).withColumn("j", F.col("i")).withColumn("side", F.lit(0).cast("long")))
+    if largest <= most:
+        return found
+    now = labelled(found)
     heads = now.groupBy(key, "side").agg(F.min("rep").alias("rep"))
     heads = heads.join(heads.groupBy(key).agg(F.count("*").alias("members")).filter("members > 1"), key)
-    met = edges(crossed(now.drop("members").join(heads, [key, "side", "rep"]), 0))
-    found = saved(found.union(met))
-    now = labelled()
+    heads = saved(now.drop("members").join(heads, [key, "side", "rep"]))
+    if heads.isEmpty():
+        return found
+    found = found.union(edges(crossed(heads, 0)))
+    now = labelled(found)
     apart = now.groupBy(key).agg(F.min("side").alias("x"), F.max("side").alias("y")).filter("x <> y").select(key)
-    return found.union(edges(crossed(now.join(apart, key, "left_semi"), 1))).distinct()
+    apart = saved(now.join(apart, key, "left_semi"))
+    return found if apart.isEmpty() else found.union(edges(crossed(apart, 1)))
 
 
 def _groups(batches, names):
@@ -359,7 +365,7 @@ def verified(sizes: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None)
                     both = len(np.intersect1d(ids[x], ids[y], assume_unique=True))
                     if 100 * both >= PERCENT * (len(ids[x]) + len(ids[y]) - both):
                         forest.join(x, y)
-        return forest.edges
+        return forest.edges()
     # members that two or more hold, as columns of a 0/1 matrix, a strip of rows at a time
     count = np.bincount(held)
     column = np.cumsum(count > 1) - 1
@@ -386,7 +392,7 @@ def verified(sizes: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None)
                 ok &= side[rows][:, None] != side[cols][None]
             for x, y in np.argwhere(np.triu(ok, 1) if lo2 == lo else ok):
                 forest.join(int(rows[x]), int(cols[y]))
-    return forest.edges
+    return forest.edges()
 
 
 def _links(batches):
@@ -440,12 +446,11 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
               .groupBy("shingle", "rep", "n").agg(F.max("members").alias("members")))
     points = (shape.filter("n > 0").select("doc_id", "point").join(rep_of.filter("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi")
               .dropDuplicates(["doc_id"]))
-    rows = member.join(points.withColumnRenamed("doc_id", "rep"), "rep")
-    bound = spanning(rows, "shingle", TREE, _largest(one), _forests, ["n", "rep"])
+    points = points.withColumnRenamed("doc_id", "rep")
+    bound = spanning(member, "shingle", TREE, _largest(one), lambda some: some.join(points, "rep"), _forests, ["n", "rep"])
 
     family = families(bound)
-    texts = members_of(docs, family)
-    links = spanning(texts, "family", FAMILY, _largest(family), _links, ["rep"])
+    links = spanning(family, "family", FAMILY, _largest(family), lambda some: with_texts(docs, some), _links, ["rep"])
     linked = components(links).select(F.col("id").alias("rep"), "component")
     return (rep_of.join(linked, "rep", "left")
             .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id")))
@@ -461,11 +466,10 @@ def families(bound: DataFrame) -> DataFrame:
     return saved(family.join(family.groupBy("family").agg(F.count("*").alias("members")), "family"))
 
 
-def members_of(docs: DataFrame, family: DataFrame) -> DataFrame:
-    """family, members, rep and text."""
-    near = narrowed(docs, family.select(F.col("rep").alias("doc_id")))
-    texts = near.join(family, near["doc_id"] == family["rep"]).dropDuplicates(["rep"])
-    return texts.select("family", "members", "rep", F.col("text").cast("string").alias("text"))
+def with_texts(docs: DataFrame, some: DataFrame) -> DataFrame:
+    """``some`` (with doc_ids in rep) with their texts; only texts that are needed are shuffled."""
+    texts = narrowed(docs, some.select(F.col("rep").alias("doc_id"))).select(F.col("doc_id").alias("rep"), F.col("text").cast("string").alias("text"))
+    return texts.join(some.select("rep").distinct(), "rep", "left_semi").dropDuplicates(["rep"]).join(some, "rep")
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -200,8 +200,9 @@ def repeats(docs: DataFrame) -> DataFrame:
     family = families(hits.filter(F.col("place") == BAND).select(F.col("id").alias("a"), F.col("head").alias("b")))
     known = saved(occurrences(docs).join(family.select(F.col("rep").alias("exact")), "exact").distinct())
     one = known.groupBy(F.col("exact").alias("rep")).agg(F.min(F.struct("doc_id", "place")).alias("p")).select("rep", "p.doc_id", "p.place")
-    texts = _line_texts(docs, one).dropDuplicates(["rep"]).join(family, "rep")
-    links = spanning(texts, "family", FAMILY, _largest(family), _links, ["rep"])
+    one = saved(one)
+    links = spanning(family, "family", FAMILY, _largest(family), lambda some: _line_texts(docs, one.join(some.select("rep").distinct(), "rep", "left_semi"))
+                     .dropDuplicates(["rep"]).join(some, "rep"), _links, ["rep"])
     joined = components(links).select(F.col("id").alias("exact"), "component")
     member = known.join(joined, "exact").select("component", "doc_id", "place", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"))
     # the keeper of a large component meets its members in SALTS parts
