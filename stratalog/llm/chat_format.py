@@ -11,14 +11,15 @@ are numbered; numbering counts turns in ranges first and so does not sort a hot
 conversation in one task.
 
 Defined results: a row without conv_id or role belongs to no dialogue and is dropped; a
-null text is rendered as empty; a null turn comes after the numbered ones; ties go by role
-and text, and repeated rows stay, each rendered; a conversation of system turns only has no
+null text is rendered as empty, one of any length whole; marks in a text or role lose their
+meaning ("<|" becomes "< |"), line ends in a role become a space; a null turn comes after the
+numbered ones; ties go by role and text, and repeated rows stay, each rendered; a conversation of system turns only has no
 perspective; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .shared import table
 
@@ -28,12 +29,24 @@ SEGMENT = 64
 RANGE = 1024
 SYSTEM = "system"
 BEGIN, END = "<|im_start|>", "<|im_end|>\n"
+#: What marks begin with, and what it becomes in roles and texts, so that no turn can be forged.
+OPEN, PARTED = "<|", "< |"
+
+
+def plain(text: Column) -> Column:
+    """A text that can't hold a mark of its own: the marks' first two characters are parted."""
+    return F.replace(text, F.lit(OPEN), F.lit(PARTED))
+
+
+def named(role: Column) -> Column:
+    """A role that ends where its line does."""
+    return plain(F.regexp_replace(role, r"[\r\n]+", " "))
 
 
 def numbered(turns: DataFrame) -> DataFrame:
     """conv_id, position (from 0), role, text."""
     t = (turns.filter("conv_id is not null and role is not null")
-         .select("conv_id", F.col("turn").cast("long").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text"))
+         .select("conv_id", F.col("turn").cast("long").alias("turn"), named(F.col("role")).alias("role"), plain(F.coalesce("text", F.lit(""))).alias("text"))
          .withColumn("range", F.coalesce(F.floor(F.col("turn") / RANGE), F.lit(2**62)).cast("long")))
     counts = t.groupBy("conv_id", "range").agg(F.count("*").alias("n"))
     before = Window.partitionBy("conv_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
@@ -47,7 +60,7 @@ def rotate(turns: DataFrame, segment: int = SEGMENT) -> DataFrame:
     """conv_id, speaker, segment, n_turns, text, mask (spans of code points, end exclusive)."""
     n = numbered(turns)
     speakers = (turns.filter(F.col("conv_id").isNotNull() & F.col("role").isNotNull() & (F.col("role") != SYSTEM))
-                .select("conv_id", F.col("role").alias("speaker")).distinct())
+                .select("conv_id", named(F.col("role")).alias("speaker")).distinct())
     parts = n.groupBy("conv_id", F.floor(F.col("position") / segment).alias("segment")).agg(
         F.array_sort(F.collect_list(F.struct("position", "role", "text"))).alias("turns"))
     each = parts.join(speakers, "conv_id")
@@ -79,9 +92,9 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = f"""
 with t as (
-  select conv_id, role, coalesce(text, '') as text,
-         row_number() over (partition by conv_id order by turn asc nulls last, role, coalesce(text, '')) - 1 as position
-  from conversations where conv_id is not null and role is not null),
+  select conv_id, role, text, row_number() over (partition by conv_id order by turn asc nulls last, role, text) - 1 as position
+  from (select conv_id, turn, replace(regexp_replace(role, '[\r\n]+', ' ', 'g'), '{OPEN}', '{PARTED}') as role, replace(coalesce(text, ''), '{OPEN}', '{PARTED}') as text
+        from conversations where conv_id is not null and role is not null)),
 s as (select distinct conv_id, role as speaker from t where role <> '{SYSTEM}'),
 h as (
   select t.conv_id, s.speaker, t.position // {SEGMENT} as segment, t.position, t.text, t.role = s.speaker as own,
