@@ -21,7 +21,7 @@ tree of its own.
   verified exactly, where it lies, again up to a spanning forest, and its components are
   the answer.
 * Trees of more than TREE members and families of more than FAMILY are dealt out in blocks
-  (``spanning``); no pair is left out.
+  (``clusters``); no pair is left out.
 * Copies (equal sets) take part once, by a 128-bit sum of their shingles.
 
 Defined results: texts without words, and null texts, have an empty set and link with
@@ -256,21 +256,22 @@ def frequent_shingles(docs: DataFrame, sample: int = SAMPLE, least: int = FREQUE
     return np.sort(got.column("k").to_numpy().view(np.uint64))
 
 
-def spanning(rows: DataFrame, key: str, most: int, largest: int, attach, run, order: list[str]) -> DataFrame:
-    """a, b: a spanning forest of a relation in each group of ``rows`` (key, rep, members).
+def clusters(rows: DataFrame, key: str, most: int, largest: int, attach, run, order: list[str]) -> DataFrame:
+    """id, component: what a relation joins, directly or over others, in the groups of ``rows`` (key, rep, members).
 
-    ``attach`` joins to rows what ``run`` needs; ``run`` gets them ordered by key, i and j.  A
-    group of more than ``most`` members is dealt out in blocks.  First each block works alone.
-    What it joins is one part from then on, and of each part one member meets those of other
-    parts.  Parts that are still apart are compared whole, block by block; so rows are copied to
-    other blocks only in groups that are no family at all, or of more than one.
+    ``attach`` joins to rows what ``run`` needs; ``run`` gets them ordered by key, i and j, and
+    gives edges that join all pairs of the relation.  A group of more than ``most`` members is
+    dealt out in blocks.  First each block works alone.  What it joins is one part from then on,
+    and of each part one member meets those of other parts.  Parts that are still apart are
+    compared whole, block by block; so rows are copied to other blocks only in groups that are no
+    family at all, or of more than one.
     """
     parts = F.ceil(F.col("members") / most).cast("int")
     block = F.pmod(F.xxhash64("rep"), parts).cast("int")
 
     def edges(dealt: DataFrame) -> DataFrame:
         ordered = attach(dealt.drop("members")).repartition(key, "i", "j").sortWithinPartitions(key, "i", "j", *order)
-        return saved(ordered.mapInArrow(run, "a long, b long").distinct())
+        return ordered.mapInArrow(run, "a long, b long")
 
     def crossed(df: DataFrame, least: int) -> DataFrame:
         """Each row once for each pair of blocks, ``least`` apart or more, that it takes part in."""
@@ -278,26 +279,34 @@ def spanning(rows: DataFrame, key: str, most: int, largest: int, attach, run, or
         both = both.filter(F.abs(F.col("own") - F.col("other")) >= least)
         return both.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("own", "other")
 
-    def labelled(found: DataFrame) -> DataFrame:
+    def labelled(part: DataFrame) -> DataFrame:
         """The large groups' rows with the part that each is in, as ``side``."""
-        label = components(found).select(F.col("id").alias("rep"), "component")
-        side = F.coalesce("component", "rep")
-        return saved(rows.filter(F.col("members") > most).join(label, "rep", "left").withColumn("side", side).drop("component"))
-
-    found = edges(rows.withColumn("i", block).withColumn("j", F.col("i")).withColumn("side", F.lit(0).cast("long")))
+        label = part.select(F.col("id").alias("rep"), "component")
+        return saved(rows.filter(F.col("members") > most).join(label, "rep", "left").withColumn("side", F.coalesce("component", "rep")).drop("component"))
+
+    def merged(part: DataFrame, more: DataFrame) -> DataFrame:
+        """The parts, put together where ``more`` edges join members of them."""
+        label = lambda name: part.select(F.col("id").alias(name), F.col("component").alias(f"of_{name}"))
+        joins = more.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+        of = components(joins).select(F.col("id").alias("component"), F.col("component").alias("whole"))
+        old = part.join(of, "component", "left").select("id", F.coalesce("whole", "component").alias("component"))
+        new = of.select(F.col("component").alias("id"), F.col("whole").alias("component"))  # members of no part until now, and heads
+        return saved(old.union(new).groupBy("id").agg(F.min("component").alias("component")))
+
+    part = saved(components(edges(rows.withColumn("i", block).withColumn("j", F.col("i")).withColumn("side", F.lit(0).cast("long")))))
     if largest <= most:
-        return found
-    now = labelled(found)
+        return part
+    now = labelled(part)
     heads = now.groupBy(key, "side").agg(F.min("rep").alias("rep"))
     heads = heads.join(heads.groupBy(key).agg(F.count("*").alias("members")).filter("members > 1"), key)
     heads = saved(now.drop("members").join(heads, [key, "side", "rep"]))
     if heads.isEmpty():
-        return found
-    found = found.union(edges(crossed(heads, 0)))
-    now = labelled(found)
+        return part
+    part = merged(part, edges(crossed(heads, 0)))
+    now = labelled(part)
     apart = now.groupBy(key).agg(F.min("side").alias("x"), F.max("side").alias("y")).filter("x <> y").select(key)
     apart = saved(now.join(apart, key, "left_semi"))
-    return found if apart.isEmpty() else found.union(edges(crossed(apart, 1)))
+    return part if apart.isEmpty() else merged(part, edges(crossed(apart, 1)))
 
 
 def _groups(batches, names):
@@ -447,11 +456,8 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     points = (shape.filter("n > 0").select("doc_id", "point").join(rep_of.filter("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi")
               .dropDuplicates(["doc_id"]))
     points = points.withColumnRenamed("doc_id", "rep")
-    bound = spanning(member, "shingle", TREE, _largest(one), lambda some: some.join(points, "rep"), _forests, ["n", "rep"])
-
-    family = families(bound)
-    links = spanning(family, "family", FAMILY, _largest(family), lambda some: with_texts(docs, some), _links, ["rep"])
-    linked = components(links).select(F.col("id").alias("rep"), "component")
+    family = families(clusters(member, "shingle", TREE, _largest(one), lambda some: some.join(points, "rep"), _forests, ["n", "rep"]))
+    linked = clusters(family, "family", FAMILY, _largest(family), lambda some: with_texts(docs, some), _links, ["rep"]).select(F.col("id").alias("rep"), "component")
     return (rep_of.join(linked, "rep", "left")
             .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id")))
 
@@ -460,9 +466,9 @@ def _largest(groups: DataFrame) -> int:
     return groups.agg(F.max("members")).head()[0] or 0
 
 
-def families(bound: DataFrame) -> DataFrame:
-    """rep, family, members: the components of the edges a, b; saved."""
-    family = saved(components(bound).select(F.col("id").alias("rep"), F.col("component").alias("family")))
+def families(parts: DataFrame) -> DataFrame:
+    """rep, family, members: components (id, component) with their sizes; saved."""
+    family = parts.select(F.col("id").alias("rep"), F.col("component").alias("family"))
     return saved(family.join(family.groupBy("family").agg(F.count("*").alias("members")), "family"))
 
 

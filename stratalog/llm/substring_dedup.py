@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .graph import components
 from .hashing import WIDTH, Words, chunks, mix, words
-from .jaccard_join import FAMILY, SALTS, _largest, _links, families, spanning
+from .jaccard_join import FAMILY, SALTS, _largest, _links, clusters, families
 from .shared import narrowed, saved, table, unused
 
 LINE, BANDS, ROWS = 30, 6, 3
@@ -197,13 +197,12 @@ def repeats(docs: DataFrame) -> DataFrame:
     gone = hits.filter(F.col("place") != BAND).select(F.col("id").alias("doc_id"), "place", F.col("head").alias("kept_doc"))
 
     # different lines: those that collide, directly or over others, are a family, and all its pairs are verified
-    family = families(hits.filter(F.col("place") == BAND).select(F.col("id").alias("a"), F.col("head").alias("b")))
+    family = families(components(hits.filter(F.col("place") == BAND).select(F.col("id").alias("a"), F.col("head").alias("b"))))
     known = saved(occurrences(docs).join(family.select(F.col("rep").alias("exact")), "exact").distinct())
     one = known.groupBy(F.col("exact").alias("rep")).agg(F.min(F.struct("doc_id", "place")).alias("p")).select("rep", "p.doc_id", "p.place")
     one = saved(one)
-    links = spanning(family, "family", FAMILY, _largest(family), lambda some: _line_texts(docs, one.join(some.select("rep").distinct(), "rep", "left_semi"))
-                     .dropDuplicates(["rep"]).join(some, "rep"), _links, ["rep"])
-    joined = components(links).select(F.col("id").alias("exact"), "component")
+    joined = clusters(family, "family", FAMILY, _largest(family), lambda some: _line_texts(docs, one.join(some.select("rep").distinct(), "rep", "left_semi"))
+                      .dropDuplicates(["rep"]).join(some, "rep"), _links, ["rep"]).select(F.col("id").alias("exact"), "component")
     member = known.join(joined, "exact").select("component", "doc_id", "place", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"))
     # the keeper of a large component meets its members in SALTS parts
     keeper = member.groupBy("component").agg(F.min("doc_id").alias("kept_doc")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
