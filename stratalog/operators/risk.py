@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.scalars import age_days, is_fix, round3, top_dir
+from ..functions.scalars import age_days, is_fix, parse_duration, round3, top_dir
 from . import history
-from .secret_rules import severity_rank
+from .secret_rules import severity_gate, severity_rank
 
 #: Weights of the risk score's parts.
 WEIGHTS = {"churn": 0.4, "bug": 0.3, "age": 0.2, "size": 0.1}
@@ -119,6 +119,26 @@ def triage_board(risk: DataFrame, stale: DataFrame, findings: DataFrame | None =
     return out
 
 
+def gate_checks(policy: dict, findings: DataFrame | None = None, risk: DataFrame | None = None, audit: DataFrame | None = None,
+                stale: DataFrame | None = None, skills: DataFrame | None = None) -> dict[str, Callable[[], DataFrame]]:
+    """The checks that a policy (settings' gate) asks for, each giving its violations.
+
+    ``skills`` are the stale stamps.  A check whose table is missing fails when it is run.
+    """
+    checks: dict[str, Callable[[], DataFrame]] = {}
+    if (level := policy.get("secrets", "off")) != "off":
+        checks["secrets"] = lambda: severity_gate(findings, level)
+    if (least := policy.get("risk")) is not None:
+        checks["risk"] = lambda: risk.filter(F.col("score") >= least)
+    if policy.get("advisories", "off") != "off":
+        checks["advisories"] = lambda: audit.filter("ids <> ''")
+    if age := policy.get("stale"):
+        checks["stale"] = lambda: stale.filter(F.col("age_days") > parse_duration(age) // 86400)
+    if folders := policy.get("skills"):
+        checks["skills"] = lambda: skills.filter(F.col("path").isin([f"{f}/SKILL.md" for f in folders]))
+    return checks
+
+
 def policy_gate(spark, checks: dict[str, Callable[[], DataFrame]]) -> DataFrame:
     """check, held, detail: each check passes if its DataFrame of violations is empty.
 

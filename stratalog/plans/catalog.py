@@ -351,6 +351,12 @@ union all select repo, 'stale', path, {R3('least(0.4::double, age_days / 3650.0:
 union all select repo, 'secret', path, case severity when 'high' then 1.0::double when 'medium' then 0.75::double else 0.5::double end from hits
 union all select repo, 'dependency', name || ' ' || version || ' ' || unnest(string_split(ids, ' ')), 0.9::double from au where ids <> ''""", "file_changes", "files", "texts")(
     lambda c, f, t: risk.triage_board(risk.risk_scores(c, f, NOW), hy.stale_files(c, f, NOW), sr.scan_rules(t, _RULES, sweep=False), deps.dependency_audit(_manifests(t), _advisories(t.sparkSession))))
+POLICY = {"secrets": "high", "risk": 0.6, "advisories": "any", "stale": "365d"}
+_add("policy_gate", f""", {RISK}, {STALE}, {_SCANNED}, {_AUDIT}, g as (select 'secrets' as name, count(*) as n from hits where severity = 'high'
+union all select 'risk', count(*) from risk where score >= 0.6 union all select 'advisories', count(*) from au where ids <> '' union all select 'stale', count(*) from stale where age_days > 365)
+select name as "check", n = 0 as held, case when n > 0 then n || ' violations' else 'clean' end as detail from g""", "file_changes", "files", "texts")(
+    lambda c, f, t: risk.policy_gate(c.sparkSession, risk.gate_checks(POLICY, sr.scan_rules(t, _RULES, sweep=False), risk.risk_scores(c, f, NOW),
+                                                                     deps.dependency_audit(_manifests(t), _advisories(t.sparkSession)), hy.stale_files(c, f, NOW))))
 
 # ---- profile, gates, windows
 _add("hotspots_with_fixes", f""", n as (select repo, path, count(*) as commits, cast(sum(coalesce(insertions, 0) + coalesce(deletions, 0)) as bigint) as churn,

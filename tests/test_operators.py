@@ -238,6 +238,12 @@ def test_gate_fails_closed(spark):
     empty = spark.range(0)
     rows = {r.check: r.held for r in risk.policy_gate(spark, {"a": lambda: empty, "b": lambda: spark.range(2), "c": lambda: 1 / 0}).collect()}
     assert rows == {"a": True, "b": False, "c": False}
+    stale = spark.createDataFrame([("r", "x", 40), ("r", "y", 10)], "repo string, path string, age_days long")
+    checks = risk.gate_checks({"secrets": "any", "stale": "30d", "risk": 0.5, "skills": ["k"]}, stale=stale, risk=spark.createDataFrame([("r", 0.4)], "repo string, score double"),
+                              skills=spark.createDataFrame([("k/SKILL.md",), ("j/SKILL.md",)], "path string"))
+    got = {r.check: (r.held, r.detail) for r in risk.policy_gate(spark, checks).collect()}
+    assert got["stale"] == (False, "1 violations") and got["risk"] == (True, "clean") and got["skills"][0] is False and got["secrets"] == (False, "check failed: AttributeError")
+    assert risk.gate_checks({"secrets": "off", "advisories": "off"}) == {}
     assert risk.purge_commands([("d/a b", "secret x"), ("c", "blob")], 1024) == [
         'git filter-repo --invert-paths --path c --path "d/a b"', "git filter-repo --strip-blobs-bigger-than 1K", 'bfg --delete-files "a b" --delete-files c']
     assert risk.purge_commands([]) == [] and len(risk.WARNINGS) == 4
