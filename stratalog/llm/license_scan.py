@@ -10,12 +10,15 @@ the most to the least specific, and identifiers that a rule has taken count for
 Row-local DataFrame functions only: no shuffle, no Python.
 
 Defined results: a null or empty text has no sentences and no licenses; a known sentence
-counts each time that it occurs; repeated rows give repeated results; an empty table gives
-an empty result; columns besides doc_id and text are ignored.
+counts each time that it occurs; texts of any length are searched whole; repeated rows and null
+doc_ids give a result each; there are no ties, as rules are tried in a fixed order; an empty table
+gives an empty result; columns besides doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .shared import table
@@ -69,6 +72,29 @@ FORMS = (
     ("I1", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
     ("I1", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
     ("U1", "this is free and unencumbered software released into the public domain"),
+    ("B3", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("B4", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("B5", "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"),
+    ("G5", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("Z1", "this software is provided as is without any express or implied warranty"),
+    ("Z2", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"),
+    ("S1", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following"),
+    ("S2", "distributed under the boost software license version 1 0"),
+    ("K1", "to the extent possible under law the author s have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide"),
+)
+# Identifiers of tags of one line, and the kind of each license.
+TAGS = {
+    "MIT": "permissive", "Apache-2.0": "permissive", "BSD-2-Clause": "permissive", "BSD-3-Clause": "permissive", "ISC": "permissive", "Zlib": "permissive",
+    "BSL-1.0": "permissive", "Unlicense": "permissive", "CC0-1.0": "permissive", "MPL-2.0": "copyleft", "EPL-2.0": "copyleft", "LGPL-2.1-only": "copyleft",
+    "LGPL-2.1-or-later": "copyleft", "LGPL-3.0-only": "copyleft", "LGPL-3.0-or-later": "copyleft", "GPL-2.0-only": "copyleft", "GPL-2.0-or-later": "copyleft",
+    "GPL-3.0-only": "copyleft", "GPL-3.0-or-later": "copyleft", "AGPL-3.0-only": "copyleft", "AGPL-3.0-or-later": "copyleft",
+}
+#: A tag's sentence identifier is "x" and a letter.
+FORMS += tuple((f"x{chr(97 + k)}", "spdx license identifier " + re.sub("[^a-z0-9]+", " ", name.lower())) for k, name in enumerate(TAGS))
+#: Rules that are more specific than RULES.
+FIRST_RULES = (
+    ("BSD-3-Clause", "permissive", ("B1", "B2", "B3", "B4")),
+    ("BSD-2-Clause", "permissive", ("B1", "B2", "B3")),
 )
 #: The rules of the identifiers that only FORMS has.
 MORE_RULES = (
@@ -79,6 +105,14 @@ MORE_RULES = (
     ("MPL-2.0-notice", "copyleft", ("P1",)),
     ("ISC", "permissive", ("I1",)),
     ("Unlicense", "permissive", ("U1",)),
+    ("AGPL-3.0-notice", "copyleft", ("G5", "G3")),
+    ("AGPL-3.0-notice", "copyleft", ("G5",)),
+    ("Zlib", "permissive", ("Z1", "Z2")),
+    ("Zlib", "permissive", ("Z2",)),
+    ("BSL-1.0", "permissive", ("S1",)),
+    ("BSL-1.0", "permissive", ("S2",)),
+    ("CC0-1.0", "permissive", ("K1",)),
+    *((name, kind, (f"x{chr(97 + k)}",)) for k, (name, kind) in enumerate(TAGS.items())),
 )
 ID = 2  # characters of an identifier
 
@@ -106,7 +140,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
     out = docs.select("doc_id", F.array_join(found(F.col("text")), " ").alias("sentence_ids"))
     left = F.concat(F.lit(" "), F.col("sentence_ids"), F.lit(" "))
     hits = []
-    for name, kind, ids in RULES + MORE_RULES:
+    for name, kind, ids in FIRST_RULES + RULES + MORE_RULES:
         # each identifier has its own spaces, so neighbours both match
         out = out.withColumn("left", F.regexp_replace(left, " ", "  ")) if "left" not in out.columns else out
         seq = " " + "  ".join(ids) + " "

@@ -139,6 +139,45 @@ def test_license_scan_of_wrapped_texts(spark):
     assert got[0].sentence_ids == "M2 M3 M4" and got[1].sentence_ids == got[6].sentence_ids == "A1 A2 A3"
 
 
+BSD3 = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER BE LIABLE
+"""
+AGPL = GPL.replace("General Public License as", "Affero General Public License as")
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+"""
+
+
+def test_license_scan_of_more_licenses_and_tags(spark):
+    texts = [BSD3, BSD3.replace("3. Neither", "3. Not even"), AGPL, ZLIB, "//          Distributed under the Boost Software License, Version 1.0.\n//    (See accompanying file", "#!/bin/sh\n# SPDX-License-Identifier: GPL-2.0-or-later\n",
+             "/* SPDX-License-Identifier: MIT */", "SPDX-License-Identifier: MIT OR ISC"]
+    got = {r.doc_id: r for r in license_scan.license_scan(frame(spark, texts)).collect()}
+    assert [got[i].licenses for i in range(len(texts))] == ["BSD-3-Clause", "BSD-2-Clause", "AGPL-3.0-notice", "Zlib", "BSL-1.0", "GPL-2.0-or-later", "MIT", ""]
+    assert got[0].sentence_ids == "B1 B2 B3 B4 B5" and got[3].sentence_ids == "Z1 Z2" and got[2].kinds == "copyleft"
+    names = {k for k, _ in license_scan.FORMS} | set(license_scan.SENTENCES)
+    assert all(len(x) == license_scan.ID for n in names for x in n.split()) and len({v for _, v in license_scan.FORMS}) == len(license_scan.FORMS)
+
+
 def test_best_fit(spark):
     rng = random.Random(1)
     rows = [(i, f"s{rng.randrange(4)}" if i % 9 else None, rng.randrange(200) if i % 7 else None, rng.randrange(0, 260)) for i in range(800)]
