@@ -141,8 +141,7 @@ def release_history(commits: DataFrame, tags: DataFrame) -> DataFrame:
     return c.select("repo", "sha", "seq", "subject", F.coalesce(F.last("tag", ignorenulls=True).over(w), F.lit("Unreleased")).alias("release"))
 
 
-#: What a conventional prefix stands for in a changelog, and the sections in order.
-SECTIONS = ("Added", "Changed", "Deprecated", "Removed", "Fixed", "Security")
+#: What a conventional prefix stands for in a changelog.
 PREFIXES = {"feat": "Added", "add": "Added", "fix": "Fixed", "bug": "Fixed", "hotfix": "Fixed", "remove": "Removed",
             "revert": "Removed", "deprecate": "Deprecated", "security": "Security", "sec": "Security"}
 

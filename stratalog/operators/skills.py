@@ -56,4 +56,4 @@ def collect_skills(files: DataFrame) -> DataFrame:
     free = F.filter(F.transform(F.sequence(F.lit(2), F.col("k") + F.size("taken") + 1), lambda i: F.concat("base", F.lit("-"), i.cast("string"))),
                     lambda x: ~F.array_contains("taken", x))
     name = F.when(F.col("k") == 1, F.col("base")).otherwise(F.get(free, F.col("k") - 2))
-    return found.join(F.broadcast(taken), "repo").select("repo", "dir", name.alias("name"), "description", "files", "binaries")
+    return found.join(taken, "repo").select("repo", "dir", name.alias("name"), "description", "files", "binaries")

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: "Now" of all queries: 1999-01-01.
 NOW = 915148800
-REPOS = 3
 
 # Written in what Spark SQL and DuckDB have in common; {x} marks what they spell differently.
 _COMMITS = """

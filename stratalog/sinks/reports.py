@@ -83,6 +83,9 @@ def render(name: str, df: DataFrame, kind: str, prov: Provenance, limit: int = L
     raise ValueError(f"no report as {kind!r}")
 
 
+PROFILES = ("repo", "stack", "onboarding")
+
+
 def _listed(lines: list[str], none: str) -> list[str]:
     return lines or [none]
 
@@ -92,6 +95,8 @@ def bundle(name: str, source: str, sha: str | None, parts: dict[str, list[dict]]
 
     SKILL.md carries the stamp that ``profile.stamps`` reads back.
     """
+    if profile not in PROFILES:
+        raise ValueError(f"a profile is one of {', '.join(PROFILES)}")
     stamp = [f"source: {source}", f"sha: {sha or 'unknown'}", f"profile: {profile}"]
     languages = list(dict.fromkeys(r["language"] for r in sorted(parts["languages"], key=lambda r: (-r["bytes"], r["ext"])) if r["language"]))
     files = sum(r["files"] for r in parts["languages"])

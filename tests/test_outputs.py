@@ -19,7 +19,7 @@ def test_reports(spark):
     with pytest.raises(render.TooLarge):
         render.rows_of(df, ["name"], 1)
     assert render.to_svg_grid({(0, 2): 4}).count("<rect") == 168
-    assert [render.human_size(n) for n in (999, 1500, 2_000_000, 3 * 10**15)] == ["999 B", "1.5 KB", "2.0 MB", "3000.0 TB"] and render.ascii_tree(["z", "a/b"]) == "a/\n  b\nz\n"
+    assert [render.human_size(n) for n in (999, 1500, 2_000_000, 3 * 10**15)] == ["999 B", "1.5 KB", "2.0 MB", "3000.0 TB"] and render.spark_line([0, 1, 8]) == " ▂█" and render.ascii_tree(["z", "a/b"]) == "a/\n  b\nz\n"
 
 
 def test_archives_are_deterministic():
