@@ -45,13 +45,18 @@ def census_by_size(files: DataFrame) -> DataFrame:
         F.count("*").alias("files"), F.sum("size").cast("long").alias("bytes")).filter("repo is not null")
 
 
+def marker_pattern(words: tuple[str, ...] = MARKERS) -> str:
+    """The marker, and the text after it."""
+    return r"\b(" + "|".join(words) + r")\b[:\s]*(.*)"
+
+
 def markers(files: DataFrame, words: tuple[str, ...] = MARKERS, blame: DataFrame | None = None, now: int | None = None) -> DataFrame:
     """The first marker of each line: repo, path, line, marker and the text after it, 200 characters at most.
 
     With ``blame`` (repo, path, line, author, author_time) the author too, and with ``now`` the
     line's age in days; beyond it null.
     """
-    rx = r"\b(" + "|".join(words) + r")\b[:\s]*(.*)"
+    rx = marker_pattern(words)
     some = files.filter(F.col("content").rlike("|".join(words)))
     lines = some.select("repo", "path", F.posexplode(split_lines(F.col("content"))).alias("pos", "text"))
     out = lines.filter(F.col("text").rlike(rx)).select(

@@ -253,7 +253,10 @@ _HITS = "hits as (select repo, path, line, rule, severity, unnest(found) as m fr
 _SCANNED = f"""lines as (select repo, path, unnest(string_split(content, chr(10))) as text, generate_subscripts(string_split(content, chr(10)), 1) as line from texts), {_HITS}"""
 _MASKED = "case when length(m) <= 8 then substr(m, 1, 2) || '...' else substr(m, 1, 4) || '...' || right(m, 4) end as preview, substr(sha256(rule || ':' || m), 1, 16) as fingerprint"
 _add("scan_rules", f", {_SCANNED} select repo, path, rule, severity, line, {_MASKED}, false as suppressed from hits", "texts")(lambda t: sr.scan_rules(t, _RULES, sweep=False))
-_add("scan_rules_and_sweep", None, "texts")(lambda t: sr.scan_rules(t, _RULES))
+_BITS = "-list_sum(list_transform(list_distinct(string_split(m, '')), lambda x: (1 - length(replace(m, x, '')) / length(m)) * log2(1 - length(replace(m, x, '')) / length(m))))"
+_SWEPT = f"""{_SCANNED}, sweep as (select repo, path, line, '{sr.ENTROPY.name}' as rule, 'low' as severity, unnest(regexp_extract_all(text, '{sr.ENTROPY.pattern}')) as m from lines)"""
+_add("scan_rules_and_sweep", f""", {_SWEPT}, every as (select * from hits union all select * from sweep where {_BITS} >= {sr.ENTROPY_BITS})
+select repo, path, rule, severity, line, {_MASKED}, false as suppressed from every""", "texts")(lambda t: sr.scan_rules(t, _RULES))
 _add("scan_receipts", "select repo, path, octet_length(encode(content)) as size, case when content is null then 'no content' when octet_length(encode(content)) > 1000000 then 'over the size cap' end as skip_reason from texts", "texts")(
     sr.scan_receipts)
 _add("scan_summary", f""", {_SCANNED}, n as (select repo, count(*) as findings, count(*) filter (severity = 'high') as high from hits group by 1)
@@ -299,7 +302,9 @@ select repo, path, rule, severity, line, {_MASKED}, cast(doc_id as varchar) as s
 # the two halves of the whole text
 _FENCED = ("concat('# t\n```python title=a.py\n', substr(content, 1, length(content) div 2), '\n```\n~~~\n', "
            "substr(content, length(content) div 2 + 1), '\n~~~\n')")
-_add("extract_code_blocks", None, "texts")(lambda t: blocks.extract_code_blocks(t.withColumn("content", F.expr(_FENCED))))
+_add("extract_code_blocks", """, h as (select repo, path, substr(content, 1, length(content) // 2) as a, substr(content, length(content) // 2 + 1) as b, doc_id from texts)
+select repo, path, 'a.py' as name, 'python' as language, 2 as line, true as named, a || chr(10) as content, cast(null as varchar) as unsafe from h
+union all select repo, path, doc_id || '.block-02.txt', '', 5 + length(a) - length(replace(a, chr(10), '')), false, b || chr(10), null from h""", "texts")(lambda t: blocks.extract_code_blocks(t.withColumn("content", F.expr(_FENCED))))
 _add("trace_origin", """, v as (select repo, path, seq, sha, (length(subject) - length(replace(subject, 'fix', ''))) // 3 as n from file_changes),
 w as (select *, coalesce(lag(n) over (partition by repo, path order by seq desc, sha desc), 0) as was from v)
 select repo, path, seq, sha, n, was, row_number() over (partition by repo order by seq desc, path) = 1 as origin from w where n <> was""", "file_changes")(
@@ -324,7 +329,13 @@ def _docstrings(content):
         F.lit("\ndef line"), i.cast("string"), F.lit("():\n    \""), plain(x), F.lit("\"\n"))), "")
 
 
-_add("code_outline", None, "texts")(lambda t: outline.code_outline(
+_add("code_outline", r""", c as (select repo, replace(path, '.txt', '.py') as path, content, doc_id from texts),
+l as (select repo, path, unnest(string_split(content, chr(10))) as text, generate_subscripts(string_split(content, chr(10)), 1) - 1 as i from c),
+o as (select repo, path, 'import' as kind, 'os' as name, 0 as depth, 1 as line, 'import os' as signature, '' as doc from c
+union all select repo, path, 'class', 'A', 0, 3, 'class A(B)', 'Doc.' from c
+union all select repo, path, 'method', 'f' || doc_id, 1, 6, 'def f' || doc_id || '(self, x: int=1) -> int', '' from c
+union all select repo, path, 'function', 'line' || i, 0, 9 + 3 * i, 'def line' || i || '()', trim(regexp_replace(text, '[\x00-\x1f]', ' ', 'g')) from l)
+select repo, path, true as parsed, '' as error, * exclude (repo, path) from o""", "texts")(lambda t: outline.code_outline(
     t.withColumn("path", F.regexp_replace("path", "txt$", "py")).withColumn("content", F.concat(F.expr(_CODE), _docstrings(F.col("content"))))))
 _JSON = "concat('{\"dependencies\": {\"p', cast(doc_id % 50 as string), '\": \"', case when doc_id % 2 = 0 then '^1.2.3' else '1.2.3' end, '\"}}')"
 def _manifests(t: DataFrame) -> DataFrame:
@@ -384,7 +395,18 @@ select repo, dir, base || case when k = 1 then '' else '-' || k end as name, 'No
 _STAMPED = "concat('---\nsource: ', path, '\nsha: ', case when doc_id % 3 = 0 then 'unknown' else cast(doc_id as string) end, '\n')"
 _add("stamps", """select repo, replace(path, '.txt', '/SKILL.md') as path, path as source, case when doc_id % 3 <> 0 then cast(doc_id as varchar) end as sha, 'repo' as profile from texts""", "texts")(
     lambda t: profile.stamps(t.withColumn("content", F.expr(_STAMPED)).withColumn("path", F.replace("path", F.lit(".txt"), F.lit("/SKILL.md")))))
-_add("profile_summary", None, "commits", "file_changes", "texts")(lambda c, f, t: profile.profile_summary(profile.repo_profile(c, f, t.withColumn("size", F.octet_length("content").cast("long")))))
+_THEMES = f"""w as (select repo, unnest(regexp_extract_all(lower(subject), '{h.THEME}')) as word from commits where {FIX}),
+th as (select repo, word from w where word not in {h.STOP_WORDS} group by 1, 2 having count(*) > 1)"""
+_add("profile_summary", f""", {_THEMES}, l as (select repo, unnest(string_split(content, chr(10))) as text from texts), p as (
+select repo, 'languages' as part, count(distinct {EXT}) as rows from texts group by 1
+union all select repo, 'layout', count(distinct split_part(path, '/', 1)) from texts group by 1
+union all select repo, 'prefixes', count(distinct {_CONV}) from commits where {_CONV} <> '' group by 1
+union all select repo, 'gotchas', least(count(distinct path), 15) from file_changes group by 1
+union all select repo, 'themes', least(count(*), 10) from th group by 1
+union all select repo, 'markers', count(distinct regexp_extract(text, '{fs.marker_pattern()}', 1)) from l where regexp_matches(text, '{fs.marker_pattern()}') group by 1
+union all select repo, 'owners', least(count(distinct {WHO}), 15) from commits group by 1
+union all select repo, 'bus_factor', 1 from commits group by 1)
+select repo, part, cast(rows as bigint) as rows from p""", "commits", "file_changes", "texts")(lambda c, f, t: profile.profile_summary(profile.repo_profile(c, f, t.withColumn("size", F.octet_length("content").cast("long")))))
 _MADE = "concat('test:\n\tpytest\nbuild', cast(doc_id % 5 as string), ': x\nV:=1\n')"
 _add("tooling", """select distinct repo, 'make test' as command, 'test' as kind, 'Makefile' as origin from texts
 union all select distinct repo, 'make build' || (doc_id % 5), 'other', 'Makefile' from texts""", "texts")(
