@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .graph import components
-from .hashing import chunks, distinct, mix, shingles
+from .hashing import WIDTH, chunks, distinct, mix, shingles
 from .shared import narrowed, saved, table
 
 #: Two sets are similar when 100 * overlap >= PERCENT * union.
@@ -46,7 +46,7 @@ PERCENT = 80
 #: Coordinates of a point at least, and shingles per coordinate at most.
 GROUPS, PER_GROUP = 32, 4
 #: Members of a leaf of a tree, of a block of a tree and of a block of a family.
-LEAF, TREE, FAMILY = 16, 4096, 1024
+LEAF, TREE, FAMILY = 16, 1024, 1024
 #: Texts that frequent shingles are learnt from, about, and the texts that hold a frequent one.
 SAMPLE, FREQUENT = 6000, 4
 #: Parts that the copies of one set are dealt to.
@@ -439,12 +439,11 @@ def representatives(shape: DataFrame) -> DataFrame:
 def jaccard_join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs``; doc_id is a whole number."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    full = shapes(docs, frequent_shingles(docs))
-    shape = saved(full.drop("index"))
+    shape = saved(shapes(docs, frequent_shingles(docs)))
     rep_of = saved(representatives(shape))
 
-    # indexed shingles that two texts hold, and which; computed twice rather than kept
-    index = full.filter("doc_id is not null").select("doc_id", F.explode("index").alias("shingle"))
+    # indexed shingles that two texts hold, and which
+    index = shape.filter("doc_id is not null").select("doc_id", F.explode("index").alias("shingle"))
     common = index.groupBy("shingle").agg(F.count("*").alias("members")).filter("members > 1").select("shingle")
     held = saved(index.join(common, "shingle"))
     # of shingles that the same texts hold, one is enough
@@ -482,6 +481,21 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
+#: The same in DuckDB, by an inverted index of all shingles; for small tables.
+SQL = rf"""
+with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
+  lambda x: x <> '') as w from documents),
+s as (select distinct doc_id, array_to_string(w[k:k + {WIDTH - 1}], ' ') as sh from (select doc_id, w, unnest(generate_series(1, greatest(len(w) - {WIDTH - 1}, least(len(w), 1)))) as k from w)),
+n as (select doc_id, count(*) as n from s group by 1),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as common from s a join s b on a.sh = b.sh and a.doc_id < b.doc_id group by 1, 2),
+e as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * common >= {PERCENT} * (x.n + y.n - common)),
+r as (select distinct doc_id as id, doc_id as c from documents where doc_id is not null
+  union select r.id, t.b from r join (select a, b from e union all select b, a from e) t on t.a = r.c)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, m.c as component_id
+from documents d left join n on n.doc_id = d.doc_id left join (select id, min(c) as c from r group by 1) m on m.id = d.doc_id
+"""
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the least doc_id, of each group of near copies.
 
