@@ -11,8 +11,8 @@ are independent, so a text is the concatenation of its pieces both ways.
 Work is row-local: no shuffle, and memory holds one batch and a bounded piece cache.
 
 Defined results: a null text counts as empty (no ids); texts of any length are encoded
-whole; repeated rows give repeated results; an empty table gives an empty result; columns
-besides doc_id and text are ignored.
+whole; repeated rows and null doc_ids give a result each; of merges of one rank the leftmost
+goes first; an empty table gives an empty result; columns besides doc_id and text are ignored.
 """
 
 from __future__ import annotations

@@ -26,7 +26,8 @@ can hold at most its first ``k + 1`` of each.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or
 non-finite components take no part, nor do null ids; ties go to the smaller vec_id; with fewer
-candidates than ``k`` all are found; repeated ids count once; an empty table gives an empty
+candidates than ``k`` all are found; repeated ids count once, with the
+least of their vectors; an empty table gives an empty
 result; other columns are ignored.
 """
 
@@ -60,7 +61,7 @@ def usable(vectors: DataFrame) -> DataFrame:
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     v = v.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & fine & F.exists("embedding", lambda x: x != 0))
     size = v.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").head()
-    return v.filter(F.size("embedding") == (size["n"] if size else 0)).dropDuplicates(["vec_id"])
+    return v.filter(F.size("embedding") == (size["n"] if size else 0)).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
 
 
 def _matrix(column: pd.Series) -> np.ndarray:

@@ -9,9 +9,10 @@ Only DataFrame functions are used.  What is shuffled is a count per sketch bucke
 (pre-aggregated in each task, so a hot source costs no more than a cold one).
 
 Defined results: a null or empty text has no words, fails the base rule and is not kept;
-null lang or source form groups of their own; repeated rows count as often as they occur;
-an empty table gives an empty result; columns besides doc_id, text, lang and source are
-ignored.
+texts of any length are measured whole; null lang or source form groups of their own; repeated
+rows and null doc_ids count as often as they occur and give a result each; a measure on its
+fence passes; an empty table gives an empty result; columns besides doc_id, text, lang and
+source are ignored.
 """
 
 from __future__ import annotations
@@ -161,3 +162,37 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
+
+
+def _sql() -> str:
+    """The same in DuckDB, with sorted lists in place of sketches."""
+    words, lines = r"regexp_split_to_array(t, '[\x20\x09-\x0D]+')", r"regexp_matches(x, '[^\x20\x09-\x0D]')"
+    floor = f"case when x < {2**MANTISSA} then x else (x >> (length(bin(x)) - 1 - {MANTISSA})) << (length(bin(x)) - 1 - {MANTISSA}) end"
+    slack = "case measure " + " ".join(f"when '{k}' then {v}" for k, v in SLACK.items()) + " end"
+    group = lambda keys: f"""select {''.join(f'{k}, ' for k in keys)}measure, count(*) as docs, list_sort(list({floor}))[cast(ceil(count(*) / 4.0) as int)] as a,
+      list_sort(list({floor}))[cast(ceil(count(*) * 3 / 4.0) as int)] as b from v where n_words > 0 group by all"""
+    fence = lambda name: f"select *, a - greatest({REACH} * (b - a), {slack}) as low, b + greatest({REACH} * (b - a), {slack}) as high from {name}"
+    pick = lambda c: f"case when o.docs >= {LEAST} then o.{c} when l.docs >= {LEAST} then l.{c} else e.{c} end"
+    order = "case measure " + " ".join(f"when '{k}' then {n}" for n, k in enumerate(SLACK)) + " end"
+    return f"""
+with d as (select row_number() over () as rid, doc_id, lang, source, coalesce(text, '') as t from documents),
+w as (select *, list_filter({words}, lambda x: x <> '') as w, list_filter(string_split(t, chr(10)), lambda x: {lines}) as l from d),
+g as (select rid, k, array_to_string(w[k:k + 4], ' ') as five from (select rid, w, unnest(generate_series(1, len(w) - 4)) as k from w)),
+c as (select rid, count(distinct p) as n from (select rid, unnest(generate_series(k, k + 4)) as p from (select *, count(*) over (partition by rid, five) as times from g) where times > 1) group by 1),
+m as (select w.rid, doc_id, lang, source, len(w) as n_words, length(array_to_string(w, '')) as word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) as n_symbols,
+  len(l) - len(list_distinct(l)) as n_dup_lines, coalesce(c.n, 0) as n_repeat_words from w left join c on c.rid = w.rid),
+v as (unpivot (select rid, lang, source, n_words, word_chars * 100 // greatest(n_words, 1) as word_length, n_symbols * 1000 // greatest(n_words, 1) as symbols,
+  n_dup_lines * 1000 // greatest(n_words, 1) as dup_lines, n_repeat_words * 1000 // greatest(n_words, 1) as repeats from m)
+  on word_length, symbols, dup_lines, repeats into name measure value x),
+own as ({group(['lang', 'source'])}), wider as ({group(['lang'])}), widest as ({group([])}),
+o as ({fence('own')}), l as ({fence('wider')}), e as ({fence('widest')}),
+f as (select v.rid, string_agg(v.measure, ',' order by {order.replace('measure', 'v.measure')}) filter (v.x > {pick('high')} or v.measure = 'word_length' and v.x < {pick('low')}) as broken
+  from v left join o on o.lang is not distinct from v.lang and o.source is not distinct from v.source and o.measure = v.measure
+  left join l on l.lang is not distinct from v.lang and l.measure = v.measure left join e on e.measure = v.measure group by 1)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
+  not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and broken is null as kept, coalesce(broken, '') as broken
+from m join f using (rid)
+"""
+
+
+SQL = _sql()
