@@ -28,8 +28,8 @@ from .shared import table
 
 #: Bytes of the longest piece that is merged directly.
 LEAF = 6
-#: Distinct pieces that a task keeps, in each of two generations; also the leaves and the seams.
-CACHE = 100_000
+#: Distinct pieces that a task keeps, about, in each of two generations (one text may add to that); also the leaves and the seams.
+CACHE = 200_000
 #: Bytes of text in a batch that goes back to Spark.
 BATCH = 2_000_000
 #: Characters whose classes differ between the two regular expression modules, and all beyond Latin.
@@ -128,23 +128,20 @@ class Codec:
         if (known := self.old.get(piece)) is None:
             ids = self.piece(piece.encode())
             known = array("i", ids).tobytes(), self.decode(ids)
-        if len(self.new) >= CACHE:
-            self.new, self.old = {}, self.new
         if len(piece) <= 64:
             self.new[piece] = known
         return known
 
     def text(self, text: str) -> tuple[bytes, bytes]:
         """The same for a text."""
-        pieces = (self.exact if ODD.search(text) else self.plain).findall(text)
+        if len(self.new) >= CACHE:  # between texts, so that a text is looked up in one generation
+            self.new, self.old = {}, self.new
         get, both = self.new.get, self.both
-        found = []
-        for p in pieces:
-            if (x := get(p)) is None:
-                x = both(p)
-                get = self.new.get
-            found.append(x)
-        return b"".join([x[0] for x in found]), b"".join([x[1] for x in found])
+        found = [get(p) or both(p) for p in (self.exact if ODD.search(text) else self.plain).findall(text)]
+        if not found:
+            return b"", b""
+        ids, data = zip(*found)
+        return b"".join(ids), b"".join(data)
 
     def encode(self, text: str) -> list[int]:
         return list(array("i", self.text(text)[0]))
