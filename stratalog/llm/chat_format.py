@@ -8,7 +8,7 @@ A rendering is cut into segments of consecutive turns, each a row with its text
 spans of code points in it that are trained on, so a conversation of any number of turns
 never has to fit into one row or task.  Segments are turn ranges, grouped after the turns
 are numbered; numbering counts turns in ranges first and so does not sort a hot
-conversation in one task.
+conversation in one task (rows of one turn number, or without one, are ordered in one).
 
 Defined results: a row without conv_id or role belongs to no dialogue and is dropped; a
 null text is rendered as empty, one of any length whole; marks in a text or role lose their
