@@ -297,7 +297,8 @@ def clusters(rows: DataFrame, key: str, most: int, largest: int, attach, run, or
     if largest <= most:
         return part
     now = labelled(part)
-    heads = now.groupBy(key, "side").agg(F.min("rep").alias("rep"))
+    # by a hash of both, so that groups of the same members take different heads
+    heads = now.groupBy(key, "side").agg(F.min_by("rep", F.xxhash64("rep", key)).alias("rep"))
     heads = heads.join(heads.groupBy(key).agg(F.count("*").alias("members")).filter("members > 1"), key)
     heads = saved(now.drop("members").join(heads, [key, "side", "rep"]))
     if heads.isEmpty():
