@@ -76,8 +76,9 @@ ANCHORS = {
     "jwt": ("eyj",),
     "password-assignment": ("password", "passwd", "secret"),
     "email": ("@",),
-    "ipv4": (".",),
 }
+#: For rules without such texts, a pattern that is in every match, for built-in functions.
+ANCHOR_PATTERNS = {"ipv4": r"(?U)\d\.\d"}
 
 
 def rules_with(custom: dict[str, dict]) -> tuple[Rule, ...]:
@@ -137,11 +138,14 @@ def preview(secret: str) -> str:
 
 def possible(content: Column, rules: tuple[Rule, ...], sweep: bool) -> Column | None:
     """Whether a text can hold a match, by built-in functions; None if that can't be told."""
-    anchors = [r.anchors or ANCHORS.get(r.name, ()) for r in rules]
+    patterns = [ANCHOR_PATTERNS[r.name] for r in rules if r in RULES and r.name in ANCHOR_PATTERNS]
+    anchors = [r.anchors or (ANCHORS.get(r.name, ()) if r in RULES else ()) for r in rules if r not in RULES or r.name not in ANCHOR_PATTERNS]
     if not all(anchors):
         return None
     low = F.lower(content)
-    found = content.rlike(ENTROPY.pattern) if sweep else F.lit(False)
+    found = F.lit(False)
+    for pattern in [*patterns, *([ENTROPY.pattern] if sweep else [])]:
+        found = found | content.rlike(pattern)
     for anchor in dict.fromkeys(a for group in anchors for a in group):
         found = found | F.contains(low, F.lit(anchor))
     return found

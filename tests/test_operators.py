@@ -192,6 +192,9 @@ def test_custom_rules(spark):
     t = spark.createDataFrame([("r", "a", "B-1234 hush")], TEXTS)
     assert [(r.rule, r.severity) for r in sr.scan_rules(t, rules).collect()] == [("badge", "low")]
     assert sr.redact(t, rules).head().content == "[REDACTED:badge] [REDACTED:hush]"
+    odd = spark.createDataFrame([("r", "a", "x 1.2.3.4 y"), ("r", "b", "\u0661.\u0662.\u0663.\u0664")], TEXTS)  # digits of other scripts too
+    assert [sum(r.replaced.values()) for r in sr.redact(odd).collect()] == [1, 1]
+    assert sr.possible(F.col("content"), (sr.Rule("email", "zzz"),), False) is None  # a name alone says nothing about a pattern
     for bad in ({"pattern": "("}, {}, {"pattern": "x", "severity": "dire"}):
         with pytest.raises(sr.RuleError, match="badge"):
             sr.rules_with({"badge": bad})
