@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes that are hashed at once.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 WIDTH = 5  # words in a shingle
 
 _SPACE = np.zeros(256, bool)
